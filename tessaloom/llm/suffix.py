@@ -37,7 +37,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from .runtime import arrow_map, cut
 from .textops import Words, runs
 
-MIN_WORDS, WINDOW, KMER, LOOK = 50, 26, 8, 6
+MIN_WORDS, WINDOW, KMER, LOOK = 50, 26, 8, 48
 RUN = MIN_WORDS - WINDOW + 1
 SIDE = WINDOW - 1
 
@@ -140,14 +140,17 @@ def _neighbours(edges: bool):
             for s in range(1, LOOK + 1):
                 if len(k) <= s:
                     break
-                at = np.flatnonzero((k[s:] == k[:-s]) & (d[s:] != d[:-s]))
+                together = k[s:] == k[:-s]
+                if not together.any():
+                    break  # no run has so many suffixes here
+                done = (left == SIDE) & (right == SIDE)
+                at = np.flatnonzero(together & (d[s:] != d[:-s]) & ~(done[s:] & done[:-s]))
                 if not len(at):
                     continue
                 a, b = _agree(r[at], r[at + s]), _agree(l[at], l[at + s])
                 good = a + b + RUN >= MIN_WORDS
-                for side in (at[good], at[good] + s):
-                    better = a[good] + b[good] > right[side] + left[side]
-                    right[side[better]], left[side[better]] = a[good][better], b[good][better]
+                for side in (at[good], at[good] + s):  # both matches hold the run: their union is one stretch
+                    right[side], left[side] = np.maximum(right[side], a[good]), np.maximum(left[side], b[good])
             hit = right[row] >= 0
             if hit.any():
                 m = int(hit.sum())

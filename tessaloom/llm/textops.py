@@ -67,6 +67,7 @@ class Words:
         np.cumsum(folded.astype(np.uint64) * _power("up", _BASE, len(folded) + 1)[: len(folded)], out=sums[1:])
         down = _power("down", pow(_BASE, -1, 1 << 64), len(folded) + 1)
         self.hashes = mix((sums[ends] - sums[starts]) * down[starts])
+        self._at = sums, down, starts, ends
         begin = np.zeros(len(texts), np.int64)
         np.cumsum([len(t) + 1 for t in texts[:-1]], out=begin[1:]) if len(texts) > 1 else None
         self.offsets = np.append(np.searchsorted(starts, begin), len(starts)).astype(np.int64)
@@ -76,6 +77,15 @@ class Words:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def prefixes(self, size: int) -> np.ndarray:
+        """A hash of each word's first ``size`` characters (of its own length), 0 for words that
+        aren't longer."""
+        sums, down, starts, ends = self._at
+        longer = ends - starts > size
+        out = np.zeros(len(starts), np.uint64)
+        out[longer] = mix((sums[starts[longer] + size] - sums[starts[longer]]) * down[starts[longer]] + np.uint64(size))
+        return out
+
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.offsets[i] : self.offsets[i + 1]]
 

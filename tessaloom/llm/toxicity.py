@@ -3,13 +3,15 @@
 Grades are ordered: 0 clean, 1 toxic, 2 severely toxic. P(grade > j) = sigmoid(w.x - cut_j),
 with one weight vector w for both ordered thresholds (proportional odds); the expected
 severity is the sum of those probabilities. Labels say toxic or not; the grade of a toxic
-training row is 2 where its share of lexicon words (words far more frequent in toxic training
-rows than in others) lies above the median of toxic rows, else 1, so the severity cut is
-learned from the rows themselves. A document is rejected when P(grade > 0) reaches ``reject``.
-
-Features: the presence of distinct words, as exact 64-bit hashes of a vocabulary that the
-training sample gives: words of MIN_DOCS rows at least, and of more toxic rows than chance. A
-text of any length is used whole. The fit uses a bounded sample, MAX_ROWS labelled rows by
+training row is 2 where its number of lexicon features (far more frequent in toxic training rows
+than in others) lies above the median of toxic rows, else 1, so the severity cut is
+learned from the rows themselves. A document is rejected when P(grade > 0) reaches the model's
+``reject``: of the values that part the training rows best (by the sum of both classes' rates),
+the middle.
+
+Features: the presence of distinct words and of word beginnings of PREFIXES characters, as
+exact 64-bit hashes of a vocabulary that the training sample gives: those of MIN_DOCS rows at
+least whose share of toxic rows is far from chance. A text of any length is used whole. The fit uses a bounded sample, MAX_ROWS labelled rows by
 hash order (a documented parameter); scoring covers every row.
 
 Null and empty texts have no features and get the base rate's severity; with no usable labels
@@ -32,8 +34,9 @@ from .textops import Words
 
 MAX_ROWS = 6000
 MIN_DOCS = 5
-REJECT = 0.5
 MAX_FEATURES = 20_000
+PREFIXES = (3, 4, 5, 6)
+EXCESS, LEXICON = 4.0, 6.0  # standard deviations
 
 
 @dataclass
@@ -41,9 +44,10 @@ class OrdinalModel:
     words: np.ndarray  # sorted hashes
     weights: np.ndarray
     cuts: np.ndarray  # ascending
+    reject: float = 1.0  # least P(grade > 0) of a rejected document
 
     def exceed(self, features: np.ndarray) -> np.ndarray:
-        """P(grade > j) of one text from its distinct word hashes."""
+        """P(grade > j) of one text from its feature hashes."""
         if not len(self.cuts):
             return np.zeros(2)
         at = np.searchsorted(self.words, features)
@@ -52,11 +56,19 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts - total, -60, 60)))
 
 
+def features_of(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct feature hashes of each text."""
+    words = Words(texts)
+    all_of = np.vstack((words.hashes, *(words.prefixes(k) for k in PREFIXES)))
+    sets = [np.unique(all_of[:, words.offsets[i] : words.offsets[i + 1]]) for i in range(len(words))]
+    return [s[1:] if len(s) and s[0] == 0 else s for s in sets]
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, size: int, decay: float = 2e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, size: int, decay: float = 1e-5, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Weights and cuts by full-batch Adam on the likelihood of the grades. ``rows`` hold
     feature numbers."""
     owner, feature = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
@@ -90,9 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     schema = StructType([StructField("toxic", IntegerType()), StructField("words", BinaryType()), StructField("n", LongType())])
 
     def words(c: dict) -> dict:
-        w = Words(c["_text"])
-        sets = [np.unique(w.of(i)) for i in range(len(w))]
-        return {"toxic": c["_toxic"], "words": [s.tobytes() for s in sets], "n": [len(w.of(i)) for i in range(len(w))]}
+        sets = features_of(c["_text"])
+        return {"toxic": c["_toxic"], "words": [s.tobytes() for s in sets], "n": list(map(len, sets))}
 
     rows = arrow_map(chosen, words, schema).limit(4 * max_rows).collect()
     toxic = np.array([r.toxic for r in rows], np.int64)
@@ -108,37 +119,47 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     base = toxic.mean()
     # how many standard deviations a word's toxic rows exceed those expected
     excess = (in_toxic - in_docs * base) / np.sqrt(in_docs * base * (1 - base) + 1)
-    keep = np.flatnonzero((in_docs >= MIN_DOCS) & (np.abs(excess) >= 2.5))
+    keep = np.flatnonzero((in_docs >= MIN_DOCS) & (np.abs(excess) >= EXCESS))
     keep = np.sort(keep[np.argsort(-np.abs(excess[keep]), kind="stable")[:MAX_FEATURES]])
     number = np.full(len(everything), -1)
     number[keep] = np.arange(len(keep))
     ends = np.cumsum([len(s) for s in sets])
     features = [f[f >= 0] for f in np.split(number[inverse], ends[:-1])]
-    lexicon = excess[keep] >= 6
-    load = np.array([lexicon[f].sum() / np.sqrt(max(1, r.n)) for f, r in zip(features, rows)])
+    lexicon = excess[keep] >= LEXICON
+    load = np.array([lexicon[f].sum() for f in features])
     middle = np.median(load[toxic == 1])
     grades = np.where(toxic == 0, 0, np.where(load > middle, 2, 1))
     weights, cuts = fit_cumulative_link(features, grades, len(keep))
-    return OrdinalModel(everything[keep], weights, cuts)
+    z = np.array([weights[f].sum() for f in features])
+    return OrdinalModel(everything[keep], weights, cuts, float(_sigmoid(best_part(z, toxic) - cuts[0])))
 
 
-def score(docs: DataFrame, model: OrdinalModel, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_part(z: np.ndarray, toxic: np.ndarray) -> float:
+    """The middle of the interval of z that parts the classes best."""
+    order = np.argsort(z, kind="stable")
+    z, toxic = z[order], toxic[order]
+    below = np.cumsum(toxic == 0) / (toxic == 0).sum() - np.cumsum(toxic == 1) / (toxic == 1).sum()
+    below[:-1][z[1:] == z[:-1]] = -1  # a cut can't part equal values
+    i = int(below.argmax())
+    return float((z[i] + z[min(i + 1, len(z) - 1)]) / 2)
+
+
+def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, severity (expected grade, 0 to 2), p_toxic, p_severe, rejected."""
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), *(StructField(n, DoubleType()) for n in ("severity", "p_toxic", "p_severe")), StructField("rejected", BooleanType())])
 
     def run(c: dict) -> dict:
         p = _exceed(model, c["t"])
-        return {"doc_id": c["d"], "severity": p.sum(1), "p_toxic": p[:, 0], "p_severe": p[:, 1], "rejected": p[:, 0] >= reject}
+        return {"doc_id": c["d"], "severity": p.sum(1), "p_toxic": p[:, 0], "p_severe": p[:, 1], "rejected": p[:, 0] >= model.reject}
 
     return arrow_map(docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t")), run, schema)
 
 
 def _exceed(model: OrdinalModel, texts: list) -> np.ndarray:
-    words = Words(texts)
-    return np.array([model.exceed(np.unique(words.of(i))) for i in range(len(words))])
+    return np.array([model.exceed(f) for f in features_of(texts)]).reshape(-1, 2)
 
 
-def accepted(docs: DataFrame, model: OrdinalModel, reject: float = REJECT, text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that aren't rejected; all columns as they are."""
     flag = "_p_toxic"
     while flag in docs.columns:
@@ -147,4 +168,4 @@ def accepted(docs: DataFrame, model: OrdinalModel, reject: float = REJECT, text_
     def run(c: dict) -> dict:
         return c | {flag: _exceed(model, c[text_col])[:, 0]}
 
-    return arrow_map(docs, run, StructType([*docs.schema.fields, StructField(flag, DoubleType())])).filter(F.col(flag) < reject).drop(flag)
+    return arrow_map(docs, run, StructType([*docs.schema.fields, StructField(flag, DoubleType())])).filter(F.col(flag) < model.reject).drop(flag)
