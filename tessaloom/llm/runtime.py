@@ -23,6 +23,17 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner", share: int = 500) -> DataFrame:
+    """``rows`` (materialised) joined with ``groups``, one row a key that has ``size`` rows. Keys
+    of at least 1/``share`` of all rows, ``share`` of them at most, are broadcast, so that their
+    rows stay where they are; the others are shuffled."""
+    from pyspark.sql import functions as F
+
+    hot = cut(groups.filter(F.col(size) >= max(1, rows.count() // share)))
+    small = F.broadcast(hot.drop(size))
+    return rows.join(small, key, how).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.drop(size), key, how))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict], dict | None], schema: StructType, max_chars: int = 1 << 20) -> DataFrame:
     """mapInArrow over slices of at most about ``max_chars`` characters of text (one row at
     least), so that a worker's memory follows one slice and never a whole batch. ``fn`` gets

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .runtime import arrow_map, cut
+from .runtime import arrow_map, cut, join_groups
 from .textops import Words, runs
 
 MIN_WORDS, WINDOW, KMER, LOOK = 50, 26, 8, 48
@@ -174,8 +174,8 @@ _MATCH_NAMES = [x.split()[0] for x in MATCH.split(", ")]
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_spans, n_words, spans."""
     kept = cut(kept_suffixes(docs, id_col, text_col))
-    shared = kept.groupBy("run").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("run")
-    per_doc = kept.join(shared, "run", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("pos", "run")).alias("at"))
+    shared = kept.groupBy("run").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("rows")).filter("least < most").select("run", "rows")
+    per_doc = join_groups(kept, shared, "run", "rows", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("pos", "run")).alias("at"))
     contexts = _texts(docs, id_col, text_col).join(per_doc.withColumnRenamed("doc", "d"), "d").mapInArrow(_contexts, CONTEXT)
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ("run", "after", "before", "doc", "pos")
