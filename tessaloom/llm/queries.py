@@ -65,8 +65,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _SHINGLES = """
-  {name}_words AS (SELECT {key} AS id, row_number() OVER () AS row_no, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), w -> w <> '') AS w FROM {table}),
-  {name}_sh AS (SELECT DISTINCT id, row_no, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ') || ' #'] ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s FROM {name}_words)"""
+  {name}_words AS (SELECT {key} AS id, row_number() OVER () AS row_no, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda v: v <> '') AS w FROM {table}),
+  {name}_sh AS (SELECT DISTINCT id, row_no, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ') || ' #'] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM {name}_words)"""
 
 OP4_SQL = (
     "WITH"
@@ -80,9 +80,9 @@ SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM
 )
 
 OP10_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e, len(embedding) AS n FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e, len(embedding) AS n FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-             AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
   s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
         FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND c.n = q.n),
   r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS "rank", vec_id, score FROM s)
