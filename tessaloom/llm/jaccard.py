@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .components import components
-from .runtime import arrow_map, cut
+from .runtime import arrow_map, cut, join_groups
 from .textops import Words, mix, shingle_sets, shingles
 
 TREES, DEPTH = 20, 6
@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """doc_id, class_id, n_links, n_copies."""
     signed = cut(signatures(docs, id_col, text_col))
     keyed = signed.filter("key is not null")
-    groups = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_copies"), F.first("n").alias("n"), F.first("labels").alias("labels"))
+    groups = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("n_copies"), F.first("n").alias("n"), F.first("labels").alias("labels"), F.count("*").alias("rows"))
     reps = groups.select(F.col("rep").alias("doc_id"), "n", "labels")
     tied = cut(ties(reps, threshold, recall))
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
@@ -201,7 +201,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     side = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     rest = tied.join(nearest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = cut(links.unionByName(verified(rest, texts, threshold)))
-    texts_of = signed.select("doc_id", "key").join(groups.select("key", "rep", "n_copies"), "key", "left")
+    texts_of = join_groups(keyed.select("doc_id", "key"), groups.select("key", "rep", "n_copies", "rows"), "key", "rows")
+    texts_of = texts_of.unionByName(signed.filter("key is null").select("doc_id", "key"), allowMissingColumns=True)
     member = texts_of.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.max("n_copies").alias("n_copies"))
     same_id = texts_of.join(member.filter("rep != other").select("doc_id"), "doc_id", "left_semi").filter("rep is not null").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     classes = components(links.unionByName(same_id))
