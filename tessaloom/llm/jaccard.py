@@ -201,14 +201,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     side = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
     rest = tied.join(nearest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     links = cut(links.unionByName(verified(rest, texts, threshold)))
-    texts_of = join_groups(keyed.select("doc_id", "key"), groups.select("key", "rep", "n_copies", "rows"), "key", "rows")
-    texts_of = texts_of.unionByName(signed.filter("key is null").select("doc_id", "key"), allowMissingColumns=True)
-    member = texts_of.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.max("n_copies").alias("n_copies"))
-    same_id = texts_of.join(member.filter("rep != other").select("doc_id"), "doc_id", "left_semi").filter("rep is not null").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    several = keyed.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y")
+    same_id = keyed.join(several, "doc_id", "left_semi").join(groups.select("key", "rep"), "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     classes = components(links.unionByName(same_id))
     counted = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = classes.select(F.col("node").alias("rep"), "component").join(counted, "rep", "left")
-    return member.join(known, "rep", "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    # a class is known by key before the copies come in, so no join meets them all in one task
+    by_key = groups.select("key", "rep", "n_copies", "rows").join(known, "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"), "n_links", "n_copies", "rows")
+    members = join_groups(keyed.select("doc_id", "key"), by_key, "key", "rows").drop("key")
+    wordless = signed.filter("key is null").select("doc_id")
+    return members.unionByName(wordless, allowMissingColumns=True).groupBy("doc_id").agg(
+        F.coalesce(F.min("class_id"), F.col("doc_id")).alias("class_id"),
+        F.coalesce(F.sum("n_links"), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.max("n_copies"), F.lit(1)).cast("long").alias("n_copies"),
+    )
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
