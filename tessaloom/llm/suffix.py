@@ -120,10 +120,17 @@ def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate((x == y) & (x != 0), axis=1).sum(1)
 
 
+def _fresh(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it, but for its position."""
+    out = np.ones(len(key), bool)
+    out[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (after[1:] != after[:-1]).any(1) | (before[1:] != before[:-1]).any(1)
+    return out
+
+
 def _neighbours(edges: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last LOOK rows, of different content each
-        opening = None
+        held = None  # the rows of the last LOOK contents: run, context and document
+        opening, complete = None, False  # those of the first
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -132,8 +139,7 @@ def _neighbours(edges: bool):
             before = np.frombuffer(b"".join(batch.column("before").to_pylist()), np.uint32).reshape(-1, SIDE)
             if held is not None:
                 key, doc, pos, after, before = (np.concatenate((a, b)) for a, b in zip(held, (key, doc, pos, after, before)))
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (after[1:] != after[:-1]).any(1) | (before[1:] != before[:-1]).any(1)
+            fresh = _fresh(key, doc, pos, after, before)
             row = np.cumsum(fresh) - 1
             k, d, r, l = key[fresh], doc[fresh], after[fresh], before[fresh]
             right, left = np.full(len(k), -1), np.full(len(k), -1)
@@ -155,10 +161,13 @@ def _neighbours(edges: bool):
             if hit.any():
                 m = int(hit.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((pos[hit] - left[row][hit]).astype(np.int32)), pa.array((pos[hit] + RUN + right[row][hit]).astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32())], names=_MATCH_NAMES)
-            first = np.flatnonzero(fresh)
-            if opening is None or len(opening[0]) < LOOK:
-                opening = tuple(x[first[:LOOK]] for x in (key, doc, pos, after, before))
-            keep = first[-LOOK:]
+            if not complete:
+                old = 0 if held is None else len(held[0])
+                fresh_rows = tuple(x[old:] for x in (key, doc, pos, after, before))
+                opening = fresh_rows if opening is None else tuple(np.concatenate(x) for x in zip(opening, fresh_rows))
+                group = np.cumsum(_fresh(*opening)) - 1
+                opening, complete = tuple(x[group < LOOK] for x in opening), group[-1] >= LOOK
+            keep = row > row[-1] - LOOK
             held = tuple(x[keep] for x in (key, doc, pos, after, before))
         if edges and held is not None:
             key, doc, pos, after, before = (np.concatenate((a, b)) for a, b in zip(opening, held))
@@ -179,7 +188,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     contexts = _texts(docs, id_col, text_col).join(per_doc.withColumnRenamed("doc", "d"), "d").mapInArrow(_contexts, CONTEXT)
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ("run", "after", "before", "doc", "pos")
-    found = cut(contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(True), MATCH))
+    found = cut(contexts.repartitionByRange(parts, *order[:-1]).sortWithinPartitions(*order).mapInArrow(_neighbours(True), MATCH))
     borders = found.filter("run is not null").select("run", "after", "before", "doc", "pos").coalesce(1).sortWithinPartitions(*order)
     matches = found.filter("run is null").select("doc", "lo", "hi").unionByName(borders.mapInArrow(_neighbours(False), MATCH).select("doc", "lo", "hi"))
     spans = matches.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"))
