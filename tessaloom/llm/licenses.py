@@ -4,7 +4,7 @@ A candidate block is a line with a licensing word; of a longer line, the stretch
 characters around such words. Each block is compressed alone, and with each template as
 zstandard raw dictionary; templates are ranked by how much smaller it gets. Those that save
 MIN_SAVING are then confirmed, in that order, by exact wording: the words of one of the
-template's sentences must occur in the block in order, with at most a fifth of them missing and
+template's sentences must occur in the block in order, with at most a quarter of them missing and
 all that identify the license present. A stretch confirms one template only.
 
 Result, one row per row: doc_id, n_licenses (distinct), licenses (ids, sorted, comma-joined),
@@ -26,7 +26,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .runtime import arrow_map
 
 MIN_SAVING = 0.2
-MIN_WORDS_SHARE = 0.8
+MIN_WORDS_SHARE = 0.75
 REACH = 400
 MAX_BLOCK = 1200
 CUE = re.compile(r"licen[sc]|copyright|redistribut|warrant|permission is|spdx|public domain|all rights reserved|\bCC BY|\bCC0|\bGPL|\bMIT\b", re.I)

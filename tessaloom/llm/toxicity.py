@@ -6,8 +6,9 @@ severity is the sum of those probabilities. Labels say toxic or not; the grade o
 training row is 2 where its number of lexicon features (far more frequent in toxic training rows
 than in others) lies above the median of toxic rows, else 1, so the severity cut is
 learned from the rows themselves. A document is rejected when P(grade > 0) reaches the model's
-``reject``: of the values that part the training rows best (by the sum of both classes' rates),
-the middle.
+``reject``: of the values that part the training rows best (a clean row's loss counts
+CLEAN_WEIGHT times a toxic one's, by the classes' rates), the middle. Where nothing parts them,
+nothing is rejected.
 
 Features: the presence of distinct words and of word beginnings of PREFIXES characters, as
 exact 64-bit hashes of a vocabulary that the training sample gives: those of MIN_DOCS rows at
@@ -36,6 +37,7 @@ MAX_ROWS = 6000
 MIN_DOCS = 5
 MAX_FEATURES = 20_000
 PREFIXES = (3, 4, 5, 6)
+CLEAN_WEIGHT = 10
 EXCESS, LEXICON = 4.0, 6.0  # standard deviations
 
 
@@ -44,7 +46,7 @@ class OrdinalModel:
     words: np.ndarray  # sorted hashes
     weights: np.ndarray
     cuts: np.ndarray  # ascending
-    reject: float = 1.0  # least P(grade > 0) of a rejected document
+    reject: float = 2.0  # least P(grade > 0) of a rejected document
 
     def exceed(self, features: np.ndarray) -> np.ndarray:
         """P(grade > j) of one text from its feature hashes."""
@@ -131,17 +133,21 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     grades = np.where(toxic == 0, 0, np.where(load > middle, 2, 1))
     weights, cuts = fit_cumulative_link(features, grades, len(keep))
     z = np.array([weights[f].sum() for f in features])
-    return OrdinalModel(everything[keep], weights, cuts, float(_sigmoid(best_part(z, toxic) - cuts[0])))
+    return OrdinalModel(everything[keep], weights, cuts, reject_at(best_part(z, toxic), cuts))
+
+
+def reject_at(z: float, cuts: np.ndarray) -> float:
+    return float(_sigmoid(np.array(z) - cuts[0])) if np.isfinite(z) else 2.0
 
 
 def best_part(z: np.ndarray, toxic: np.ndarray) -> float:
-    """The middle of the interval of z that parts the classes best."""
+    """The middle of the interval of z that parts the classes best; infinite if none does."""
     order = np.argsort(z, kind="stable")
     z, toxic = z[order], toxic[order]
-    below = np.cumsum(toxic == 0) / (toxic == 0).sum() - np.cumsum(toxic == 1) / (toxic == 1).sum()
-    below[:-1][z[1:] == z[:-1]] = -1  # a cut can't part equal values
-    i = int(below.argmax())
-    return float((z[i] + z[min(i + 1, len(z) - 1)]) / 2)
+    gain = CLEAN_WEIGHT * np.cumsum(toxic == 0) / (toxic == 0).sum() - np.cumsum(toxic == 1) / (toxic == 1).sum()
+    gain[:-1][z[1:] == z[:-1]] = -1  # a cut can't part equal values
+    i = int(gain.argmax())
+    return float((z[i] + z[i + 1]) / 2) if i + 1 < len(z) else np.inf
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
