@@ -9,8 +9,11 @@
    is found with probability ``recall`` in some tree. A size filter drops hopeless ties. Where
    a prefix group goes on into the next partition, the partitions' first rows are tied, too,
    so that a group of any size spreads over tasks.
-4. Ties are verified exactly, in two rounds: first each row's tie to its least partner, then
-   the ties that still join different components. Texts meet by chunks of partners.
+4. Ties are verified exactly, in two rounds: first each row's tie to its least partner; then,
+   in prefix groups (at the shortest depth) that still hold several components, all pairs of a
+   row outside the group's largest component with rows of other components. So no pair that
+   meets in a tree stays untested unless a chain of links joins it already. Texts meet by
+   chunks of partners.
 5. Components of verified links are the classes.
 
 The result has one row per distinct doc_id: doc_id, class_id (least doc_id of the class),
@@ -83,6 +86,28 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_map(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")), run, schema)
 
 
+def trie_rows(rows: DataFrame, *more: str) -> DataFrame:
+    """(tree, label, id, n) of representatives, and more columns."""
+    step = 4 * DEPTH
+    return rows.select(F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), i -> substring(labels, i * {step} + 1, {step}))")).alias("tree", "label"), F.col("doc_id").alias("id"), "n", *more)
+
+
+def pairs_across(rows: DataFrame, tied: DataFrame, classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Distinct (a, b), a < b, of one prefix group and different components, of which one isn't
+    in the group's largest component. Only rows with a tie can be in such a group."""
+    width = 4 * shortest_prefix(threshold, recall, TREES, DEPTH)
+    active = tied.select(F.col("a").alias("doc_id")).unionByName(tied.select(F.col("b").alias("doc_id"))).distinct()
+    component = classes.select(F.col("node").alias("doc_id"), "component")
+    placed = rows.join(active, "doc_id").join(component, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
+    placed = trie_rows(placed, "c").select("tree", F.expr(f"substring(label, 1, {width})").alias("prefix"), "id", "n", "c")
+    sizes = placed.groupBy("tree", "prefix", "c").agg(F.count("*").alias("k"))
+    mixed = sizes.groupBy("tree", "prefix").agg(F.count("*").alias("components"), F.max(F.struct("k", "c"))["c"].alias("largest")).filter("components > 1").drop("components")
+    held = cut(placed.join(mixed, ["tree", "prefix"]))
+    minor = held.filter("c != largest").select("tree", "prefix", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    met = held.join(minor, ["tree", "prefix"]).filter((F.col("c") != F.col("cx")) & (F.least("n", "nx") >= threshold * F.greatest("n", "nx") - 1e-9))
+    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+
+
 TIES = "a long, b long, tree int, prefix binary, edge boolean"
 
 
@@ -136,8 +161,7 @@ def _walk(floor: int, threshold: float):
 def ties(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Distinct (a, b), a < b: candidates of representatives (doc_id, n, labels)."""
     floor = shortest_prefix(threshold, recall, TREES, DEPTH)
-    step = 4 * DEPTH
-    trie = rows.select(F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), i -> substring(labels, i * {step} + 1, {step}))")).alias("tree", "label"), F.col("doc_id").alias("id"), "n")
+    trie = trie_rows(rows)
     parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     walked = cut(trie.repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(_walk(floor, threshold), TIES))
     ends = walked.filter("edge")
@@ -198,8 +222,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     nearest = tied.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = cut(verified(nearest, texts, threshold))
     classes = cut(components(links))
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    rest = tied.join(nearest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    rest = pairs_across(reps, tied, classes, threshold, recall).join(nearest, ["a", "b"], "left_anti")
     links = cut(links.unionByName(verified(rest, texts, threshold)))
     several = keyed.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y")
     same_id = keyed.join(several, "doc_id", "left_semi").join(groups.select("key", "rep"), "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
