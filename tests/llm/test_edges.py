@@ -1,0 +1,109 @@
+"""Every operator and stage on nulls, empty and long texts, ties, repeated rows, empty tables
+and extra columns with clashing names."""
+
+import pytest
+
+import corpus_pipeline
+from tessaloom.llm import bpe, decontam, jaccard, langid, licenses, secrets, suffix, tokencount, topk, toxicity
+from tessaloom.llm.queries import tokenizer_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d string, t string, words string, id int"
+LONG = " ".join(f"word{i}" for i in range(30_000)) + " " + "x" * 60_000 + "-a" * 5000
+
+
+def documents(spark, texts):
+    rows = [(i, t, "en", "s", len(t) if t else None, None, "t", "w", 7) for i, t in texts]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return documents(spark, [(1, None), (2, ""), (3, "  \n"), (None, "some words here"), (4, "hi"), (4, "hi"), (5, LONG), (6, LONG), (7, "one two three four five six seven"), (None, None), (8, "日本語 😀")])
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return documents(spark, [])
+
+
+def items(spark, rows):
+    return spark.createDataFrame(rows, "item_id long, text string, doc_id string")
+
+
+def labels(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+def per_row(spark):
+    piece, word = tokenizer_path("piece_bpe_32k.model"), tokenizer_path("word_bpe_49k.json")
+    return {
+        "secrets": lambda d: secrets.digest(secrets.scan_secrets(d)),
+        "tokens": lambda d: tokencount.count_tokens(d, piece),
+        "bpe": lambda d: bpe.encode_digests(d, word),
+        "bpe_documents": lambda d: bpe.encode_documents(d, word),
+        "language": lambda d: langid.identify(d, langid.fit(d)),
+        "licenses": licenses.scan_licenses,
+        "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, labels(spark, [(None, 1, 1), (4, 1, None), (99, 0, 1)]))),
+    }
+
+
+@pytest.mark.parametrize("name", ["secrets", "tokens", "bpe", "bpe_documents", "language", "licenses", "toxicity"])
+def test_one_row_for_each_row(spark, odd, none, name):
+    operator = per_row(spark)[name]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in operator(odd).collect()) == sorted((r.doc_id is None, r.doc_id or 0) for r in odd.collect())
+    assert operator(none).count() == 0
+
+
+def test_jaccard(spark, odd, none):
+    found = {r.doc_id: r for r in jaccard.near_duplicates(odd).collect()}
+    assert set(found) == {1, 2, 3, 4, 5, 6, 7, 8}
+    assert {i: r.class_id for i, r in found.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8}
+    assert (found[6].n_copies, found[6].n_links, found[1].n_copies) == (2, 0, 1)
+    assert jaccard.near_duplicates(none).count() == 0
+    kept = jaccard.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 2, 3, 4, 5, 7, 8]
+    assert kept.filter("doc_id is null").count() == 2
+
+
+def test_decontamination(spark, odd, none):
+    bench = items(spark, [(1, None, "x"), (2, "", "x"), (3, "two three four five six", "x"), (3, "two three four five six", "x"), (None, "hi", "x"), (5, " ".join(f"word{i}" for i in range(700, 760)), "x")])
+    found = sorted((r.doc_id, r.item_id or 0, r.containment) for r in decontam.contained_items(odd, bench).collect())
+    assert found == [(4, 0, 1.0), (4, 0, 1.0), (5, 5, 1.0), (6, 5, 1.0), (7, 3, 1.0), (7, 3, 1.0)]
+    assert decontam.contained_items(none, bench).count() == 0
+    assert decontam.contained_items(odd, items(spark, [])).count() == 0
+    blocks = decontam.contained_items(odd, bench, block_shingles=2)
+    assert sorted((r.doc_id, r.item_id or 0, r.containment) for r in blocks.collect()) == found
+    assert decontam.clean_documents(odd, bench).count() == odd.count() - 5
+    assert decontam.clean_documents(odd, items(spark, [])).count() == odd.count()
+
+
+def test_suffix(spark, odd, none):
+    found = {r.doc_id: r for r in suffix.repeated_passages(odd).collect()}
+    assert set(found) == {5, 6} and found[5].n_words == found[6].n_words > 30_000
+    assert suffix.repeated_passages(none).count() == 0
+
+
+def test_topk(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [0.5, 0.0]), (3, None), (4, [None, 1.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0]), (8, []), (None, [1.0, 1.0]), (100, [1e300, 1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in topk.exact_topk(v.filter("vec_id % 100 = 0"), v, k=3).orderBy("query_id", "rank").collect()]
+    big = (1 << 63) - 1
+    assert found[:3] == [(0, 1, 100, big), (0, 2, 1, 1 << 20), (0, 3, 2, 1 << 20)]
+    assert [f[2] for f in found[3:]] == [0, 1, 2]
+    assert topk.exact_topk(v.limit(0), v).count() == 0 and topk.exact_topk(v, v.limit(0)).count() == 0
+    again = [tuple(r) for r in topk.exact_topk(v.filter("vec_id % 100 = 0"), v, k=3, block_values=2).orderBy("query_id", "rank").collect()]
+    assert again == found
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages(spark, odd, none, tmp_path, k):
+    labels(spark, [(4, 1, 0)]).write.parquet(str(tmp_path / "labels.parquet"))
+    items(spark, [(3, "two three four five six", "x")]).write.parquet(str(tmp_path / "benchmark.parquet"))
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, odd, str(tmp_path))
+    assert out.count() == {"near_duplicates": 9, "decontamination": 10}.get(name, 11)
+    assert stage(spark, none, str(tmp_path)).count() == 0
+    if k < 4:
+        assert out.columns == odd.columns
