@@ -9,7 +9,8 @@
    is found with probability ``recall`` in some tree. A size filter drops hopeless ties. Where
    a prefix group goes on into the next partition, the partitions' first rows are tied, too,
    so that a group of any size spreads over tasks.
-4. Ties are verified exactly, in two rounds: first each row's tie to its least partner; then,
+4. Ties are verified exactly, in three rounds: first each row's tie to its least partner; then
+   the ties that still join different components; then,
    in prefix groups (at the shortest depth) that still hold several components, all pairs of a
    row outside the group's largest component with rows of other components. So no pair that
    meets in a tree stays untested unless a chain of links joins it already. Texts meet by
@@ -219,10 +220,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     reps = groups.select(F.col("rep").alias("doc_id"), "n", "labels")
     tied = cut(ties(reps, threshold, recall))
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
+    active = tied.select(F.col("a").alias("id")).unionByName(tied.select(F.col("b").alias("id"))).distinct()
+    texts = cut(texts.join(active, "id", "left_semi"))  # only these texts can meet; the rest stays unread from here on
     nearest = tied.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = cut(verified(nearest, texts, threshold))
     classes = cut(components(links))
-    rest = pairs_across(reps, tied, classes, threshold, recall).join(nearest, ["a", "b"], "left_anti")
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
+    crossing = tied.join(nearest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    links = cut(links.unionByName(verified(crossing, texts, threshold)))
+    classes = cut(components(links))
+    rest = pairs_across(reps, tied, classes, threshold, recall).join(tied, ["a", "b"], "left_anti")
     links = cut(links.unionByName(verified(rest, texts, threshold)))
     several = keyed.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y")
     same_id = keyed.join(several, "doc_id", "left_semi").join(groups.select("key", "rep"), "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
