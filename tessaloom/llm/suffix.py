@@ -129,7 +129,7 @@ def _fresh(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, after: np.ndarray,
 
 def _neighbours(edges: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the rows of the last LOOK contents: run, context and document
+        held = known = None  # the rows of the last LOOK contents: run, context and document
         opening, complete = None, False  # those of the first
         for batch in batches:
             if not batch.num_rows:
@@ -143,6 +143,10 @@ def _neighbours(edges: bool):
             row = np.cumsum(fresh) - 1
             k, d, r, l = key[fresh], doc[fresh], after[fresh], before[fresh]
             right, left = np.full(len(k), -1), np.full(len(k), -1)
+            old = 0 if held is None else len(held[0])
+            if old:
+                right[row[:old]], left[row[:old]] = known
+            was = right.copy(), left.copy()
             for s in range(1, LOOK + 1):
                 if len(k) <= s:
                     break
@@ -157,19 +161,21 @@ def _neighbours(edges: bool):
                 good = a + b + RUN >= MIN_WORDS
                 for side in (at[good], at[good] + s):  # both matches hold the run: their union is one stretch
                     right[side], left[side] = np.maximum(right[side], a[good]), np.maximum(left[side], b[good])
-            hit = right[row] >= 0
+            wider = (right > was[0]) | (left > was[1])
+            hit = (right[row] >= 0) & (wider[row] | (np.arange(len(row)) >= old))
             if hit.any():
                 m = int(hit.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((pos[hit] - left[row][hit]).astype(np.int32)), pa.array((pos[hit] + RUN + right[row][hit]).astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32())], names=_MATCH_NAMES)
             if not complete:
-                old = 0 if held is None else len(held[0])
                 fresh_rows = tuple(x[old:] for x in (key, doc, pos, after, before))
                 opening = fresh_rows if opening is None else tuple(np.concatenate(x) for x in zip(opening, fresh_rows))
                 group = np.cumsum(_fresh(*opening)) - 1
                 opening, complete = tuple(x[group < LOOK] for x in opening), group[-1] >= LOOK
             keep = row > row[-1] - LOOK
-            held = tuple(x[keep] for x in (key, doc, pos, after, before))
+            held, known = tuple(x[keep] for x in (key, doc, pos, after, before)), (right[row][keep], left[row][keep])
         if edges and held is not None:
+            # only the first and last runs can go on next door
+            opening, held = (tuple(c[x[0] == x[0][end]] for c in x) for x, end in ((opening, 0), (held, -1)))
             key, doc, pos, after, before = (np.concatenate((a, b)) for a, b in zip(opening, held))
             m = len(key)
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(key), pa.array([x.tobytes() for x in after], pa.binary()), pa.array([x.tobytes() for x in before], pa.binary()), pa.array(pos.astype(np.int32))], names=_MATCH_NAMES)
