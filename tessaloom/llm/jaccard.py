@@ -4,23 +4,20 @@
 2. A representative's set of five-word shingles gets TREES x DEPTH MinHash values, DEPTH to
    each tree. A tree's label is the string of its values; rows sorted by (tree, label) are the
    tree's sorted prefix trie.
-3. Partitions walk the trie in order. A row is tied to the first row of its prefix group at
-   full depth, then at each shorter prefix, down to the depth at which a pair at the threshold
-   is found with probability ``recall`` in some tree. A size filter drops hopeless ties. Where
-   a prefix group goes on into the next partition, the partitions' first rows are tied, too,
-   so that a group of any size spreads over tasks.
-4. Ties are verified exactly, in three rounds: first each row's tie to its least partner; then
-   the ties that still join different components; then,
-   in prefix groups (at the shortest depth) that still hold several components, all pairs of a
-   row outside the group's largest component with rows of other components. So no pair that
-   meets in a tree stays untested unless a chain of links joins it already. Texts meet by
-   chunks of partners.
+3. Partitions walk the trie in order and tie rows that share a prefix with the row before,
+   down to the depth at which a pair at the threshold is found with probability ``recall`` in
+   some tree. Where a prefix group goes on into the next partition, the partitions' first rows
+   are tied, too, so that a group of any size spreads over tasks.
+4. Components of ties hold every pair that meets in a tree. All pairs of a component are
+   verified exactly, by tiles: its rows are dealt over tiles of bounded rows and shingles, each
+   pair of tiles is one cell, and a cell counts the shared shingles of all its pairs at once
+   through an inverted index. Out of a cell come each row's number of links and a spanning
+   forest of the links, never the pairs, so what is written grows with rows and tiles.
 5. Components of verified links are the classes.
 
 The result has one row per distinct doc_id: doc_id, class_id (least doc_id of the class),
-n_links (verified links of its text to different texts; as ties within one component needn't
-all be verified, this counts the links that hold the class together), n_copies (ids with the
-same word sequence). Texts without words, null ones included, are alike to nothing: each is
+n_links (different texts that its text is linked to), n_copies (ids with the same word
+sequence). Texts without words, null ones included, are alike to nothing: each is
 its own class. A text of one to four words has one shingle. Rows without an id are left out.
 Rows that repeat an id count as one document, linked to whatever any of its texts is linked to.
 Empty tables give no rows; other columns aren't read.
@@ -43,7 +40,7 @@ from .textops import Words, mix, shingle_sets, shingles
 
 TREES, DEPTH = 20, 6
 THRESHOLD, RECALL = 0.8, 0.9999
-CHUNK = 64
+TILE_ROWS, TILE_SHINGLES = 128, 1 << 18
 
 
 def shortest_prefix(threshold: float, recall: float, trees: int, depth: int) -> int:
@@ -93,123 +90,168 @@ def trie_rows(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select(F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), i -> substring(labels, i * {step} + 1, {step}))")).alias("tree", "label"), F.col("doc_id").alias("id"), "n", *more)
 
 
-def pairs_across(rows: DataFrame, tied: DataFrame, classes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Distinct (a, b), a < b, of one prefix group and different components, of which one isn't
-    in the group's largest component. Only rows with a tie can be in such a group."""
-    width = 4 * shortest_prefix(threshold, recall, TREES, DEPTH)
-    active = tied.select(F.col("a").alias("doc_id")).unionByName(tied.select(F.col("b").alias("doc_id"))).distinct()
-    component = classes.select(F.col("node").alias("doc_id"), "component")
-    placed = rows.join(active, "doc_id").join(component, "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id"))
-    placed = trie_rows(placed, "c").select("tree", F.expr(f"substring(label, 1, {width})").alias("prefix"), "id", "n", "c")
-    sizes = placed.groupBy("tree", "prefix", "c").agg(F.count("*").alias("k"))
-    mixed = sizes.groupBy("tree", "prefix").agg(F.count("*").alias("components"), F.max(F.struct("k", "c"))["c"].alias("largest")).filter("components > 1").drop("components")
-    held = cut(placed.join(mixed, ["tree", "prefix"]))
-    minor = held.filter("c != largest").select("tree", "prefix", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    met = held.join(minor, ["tree", "prefix"]).filter((F.col("c") != F.col("cx")) & (F.least("n", "nx") >= threshold * F.greatest("n", "nx") - 1e-9))
-    return met.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
-
-
 TIES = "a long, b long, tree int, prefix binary, edge boolean"
 
 
-def _walk(floor: int, threshold: float):
-    """Ties of a stretch of the sorted trie. Vectorised: at each depth, a row's group starts at
-    the last row that differs from its forerunner within that depth."""
-    width = 4
+def _walk(floor: int):
+    """Ties of neighbours in a stretch of the sorted trie, and its first and last groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: dict[int, tuple[int, int]] = {}  # by depth: id and size of the open group's first row
-        last = first = None
+        last = first = head = None  # head: the open group's first row
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree, ids, n = (batch.column(i).to_numpy() for i in (0, 2, 3))
-            label = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u4").reshape(-1, DEPTH)
-            rows = len(ids)
-            full = np.column_stack((tree.astype(np.int64), label.astype(np.int64)))
-            before = np.vstack((last[None] if last is not None else np.full((1, DEPTH + 1), -1), full[:-1]))
-            same = np.logical_and.accumulate(full == before, axis=1).sum(1) - 1  # shared prefix; -1: other tree
+            tree, ids = batch.column("tree").to_numpy(), batch.column("id").to_numpy()
+            label = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)[:, :floor]
+            group = np.column_stack((tree.astype(np.int64), label.astype(np.int64)))
+            before = np.vstack((last[0][None] if last else np.full((1, floor + 1), -1), group[:-1]))
+            starts = (group != before).any(1)
+            neighbour = np.concatenate(([last[1] if last else ids[0]], ids[:-1]))
             if first is None:
-                first = (int(tree[0]), label[0, :floor].tobytes(), int(ids[0]))
-            a, b = [], []
-            for d in range(DEPTH, floor - 1, -1):
-                starts = same < d
-                at = np.maximum.accumulate(np.where(starts, np.arange(rows), -1))
-                old = heads.get(d, (0, 0))
-                head = np.where(at >= 0, ids[at], old[0])
-                size = np.where(at >= 0, n[at], old[1])
-                tied = ~starts & (head != ids) & (np.minimum(n, size) >= threshold * np.maximum(n, size) - 1e-9)
-                a.append(head[tied])
-                b.append(ids[tied])
-                heads[d] = int(head[-1]), int(size[-1])
-            neighbour = np.concatenate(([last_id if last is not None else ids[0]], ids[:-1]))
-            tied = (same >= floor) & (neighbour != ids)
-            a.append(neighbour[tied])
-            b.append(ids[tied])
-            last, last_id, last_row = full[-1], int(ids[-1]), (int(tree[-1]), label[-1, :floor].tobytes(), heads[floor][0])
-            a, b = np.concatenate(a), np.concatenate(b)
-            pairs = np.unique(np.column_stack((np.minimum(a, b), np.maximum(a, b))), axis=0)
+                first = (int(tree[0]), label[0].tobytes(), int(ids[0]))
+            if starts.any():
+                head = int(ids[np.flatnonzero(starts)[-1]])
+            last = group[-1], int(ids[-1])
+            last_group = (int(tree[-1]), label[-1].tobytes(), head)
+            tied = ~starts & (neighbour != ids)
+            pairs = np.unique(np.column_stack((np.minimum(ids, neighbour), np.maximum(ids, neighbour)))[tied], axis=0)
             m = len(pairs)
             if m:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array([False] * m)], names=["a", "b", "tree", "prefix", "edge"])
         if first is not None:  # the stretch's first and last groups may go on next door
-            edges = {first, last_row}
+            edges = sorted({first, last_group})
             yield pa.RecordBatch.from_arrays([pa.array([e[2] for e in edges], pa.int64()), pa.nulls(len(edges), pa.int64()), pa.array([e[0] for e in edges], pa.int32()), pa.array([e[1] for e in edges], pa.binary()), pa.array([True] * len(edges))], names=["a", "b", "tree", "prefix", "edge"])
 
     return run
 
 
 def ties(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Distinct (a, b), a < b: candidates of representatives (doc_id, n, labels)."""
+    """Distinct (a, b), a < b, of representatives (doc_id, n, labels): rows of one prefix group
+    are in one component of them."""
     floor = shortest_prefix(threshold, recall, TREES, DEPTH)
-    trie = trie_rows(rows)
+    trie = trie_rows(rows).select("tree", "label", "id")
     parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    walked = cut(trie.repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(_walk(floor, threshold), TIES))
+    walked = cut(trie.repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(_walk(floor), TIES))
     ends = walked.filter("edge")
     heads = ends.groupBy("tree", "prefix").agg(F.min("a").alias("h"), F.count("*").alias("k")).filter("k > 1")
     across = ends.join(heads, ["tree", "prefix"]).filter("a != h").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b"))
     return walked.filter("not edge").select("a", "b").unionByName(across).distinct()
 
 
-def _verify(threshold: float):
-    """Streams (a, chunk, b, text): a's own text comes first, then those of its partners."""
+def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (in ``left``, in ``right``) of the pairs of shingle sets that reach the
+    threshold. Shared shingles are counted for ``most`` postings at a time, one row at least."""
+    sizes, others = np.array([len(s) for s in left], np.int64), np.array([len(s) for s in right], np.int64)
+    values, owner = np.concatenate(left), np.repeat(np.arange(len(left)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    probe = np.concatenate(right)
+    lo = np.searchsorted(values, probe, "left")
+    hits = np.searchsorted(values, probe, "right") - lo
+    ends = np.cumsum(others)
+    load = np.append(0, np.cumsum(hits))[np.append(0, ends)]  # postings before each row of ``right``
+    a, b, start = [], [], 0
+    while start < len(right):
+        stop = max(start + 1, int(np.searchsorted(load, load[start] + most, "right")) - 1)
+        part = slice(ends[start] - others[start], ends[stop - 1])
+        n, row = hits[part], np.repeat(np.arange(stop - start), others[start:stop])
+        at = np.repeat(lo[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        shared = np.bincount(np.repeat(row, n) * len(left) + owner[at], minlength=(stop - start) * len(left)).reshape(stop - start, len(left))
+        union = others[start:stop, None] + sizes[None] - shared
+        y, x = np.nonzero((shared > 0) & (shared >= threshold * union - 1e-9))
+        a.append(x)
+        b.append(y + start)
+        start = stop
+    return np.concatenate(a), np.concatenate(b)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, nodes: int) -> list[tuple[int, int]]:
+    """A forest of links (a, b) over nodes 0 to ``nodes`` - 1: in rounds, each node takes its
+    first link into another tree."""
+    root, chosen = np.arange(nodes), []
+    while len(a):
+        picks = {*np.unique(root[a], return_index=True)[1].tolist(), *np.unique(root[b], return_index=True)[1].tolist()}
+        parent = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for k in sorted(picks):
+            x, y = find(int(root[a[k]])), find(int(root[b[k]]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                chosen.append((int(a[k]), int(b[k])))
+        to = np.arange(nodes)
+        for x in list(parent):
+            to[x] = find(x)
+        root = to[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return chosen
+
+
+def _cells(threshold: float):
+    """Streams (group, i, j, tile, id, text) by cell; gives links (a, b) and counts (a, null, k)."""
     import pyarrow.compute as pc
 
+    def flush(cell: tuple, tiles: dict) -> pa.RecordBatch | None:
+        left, right = tiles.get(cell[1], ([], [])), tiles.get(cell[2], ([], []))
+        if not left[0] or not right[0]:
+            return None
+        a, b = linked(left[1], right[1], threshold)
+        one, two = np.array(left[0], np.int64), np.array(right[0], np.int64)
+        if cell[1] == cell[2]:
+            a, b = a[a < b], b[a < b]
+            ids, shift = one, 0
+        else:
+            ids, shift = np.concatenate((one, two)), len(one)
+        other = one[a] != two[b]  # an id that repeats is one document
+        a, b = a[other], b[other] + shift
+        if not len(a):
+            return None
+        links = spanning(a, b, len(ids))
+        k = np.bincount(np.concatenate((a, b)), minlength=len(ids))
+        at = np.flatnonzero(k)
+        return pa.RecordBatch.from_arrays([pa.array([*(int(ids[x]) for x, _ in links), *ids[at].tolist()], pa.int64()), pa.array([*(int(ids[y]) for _, y in links), *[None] * len(at)], pa.int64()), pa.array([*[0] * len(links), *k[at].tolist()], pa.int64())], names=["a", "b", "k"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, own = None, None
+        cell, tiles = None, {}
         for batch in batches:
             lengths = np.nan_to_num(pc.binary_length(batch.column("t")).to_numpy(zero_copy_only=False)).astype(np.int64)
             group = np.cumsum(lengths) >> 20
             cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
             for lo, hi in zip(cuts, cuts[1:]):
                 part = batch.slice(lo, hi - lo)
-                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
                 sets = shingle_sets(part.column("t").to_pylist())
-                out = []
-                for i in range(len(a)):
-                    if b[i] is None:
-                        pivot, own = a[i], sets[i]
-                    elif pivot == a[i]:
-                        shared = len(np.intersect1d(own, sets[i], assume_unique=True))
-                        union = len(own) + len(sets[i]) - shared
-                        if union and shared >= threshold * union - 1e-9:
-                            out.append((a[i], b[i]))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
+                for at, tile, i, s in zip(zip(*(part.column(c).to_pylist() for c in ("group", "i", "j"))), part.column("tile").to_pylist(), part.column("id").to_pylist(), sets):
+                    if at != cell:
+                        if cell is not None and (out := flush(cell, tiles)) is not None:
+                            yield out
+                        cell, tiles = at, {}
+                    ids, held = tiles.setdefault(tile, ([], []))
+                    ids.append(i)
+                    held.append(s)
+        if cell is not None and (out := flush(cell, tiles)) is not None:
+            yield out
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts (id, t) reach the threshold. A hot ``a`` is split into
-    chunks of about CHUNK partners; its text goes to each chunk once."""
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    split = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"))
-    own = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).join(texts.withColumnRenamed("id", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "t")
-    others = split.join(texts.withColumnRenamed("id", "b"), "b").select("a", "chunk", "b", "t")
-    parts = max(2, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = own.unionByName(others).repartition(parts, "a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    return met.mapInArrow(_verify(threshold), "a long, b long").distinct()
+def verified(tied: DataFrame, sizes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b, k = 0) that span the components of exact links, and (a, null, k) with row
+    a's number of links in one cell. ``sizes``: doc_id, n; ``texts``: id, t.
+
+    Tiles hold TILE_ROWS rows (in groups of over 32 tiles a 32nd of the group, up to 16 times as
+    many) and about TILE_SHINGLES shingles."""
+    grouped = cut(components(tied).join(sizes.groupBy(F.col("doc_id").alias("node")).agg(F.sum("n").alias("n")), "node"))
+    tiles = grouped.groupBy("component").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).withColumn("tiles", F.greatest(F.ceil(F.col("rows") / F.least(F.lit(16 * TILE_ROWS), F.greatest(F.lit(TILE_ROWS), F.col("rows") / 32))), F.ceil(F.col("n") / TILE_SHINGLES)).cast("int")).drop("n")
+    placed = join_groups(grouped.select("node", "component"), tiles, "component", "rows").select(F.col("node").alias("id"), F.col("component").alias("group"), F.pmod(F.xxhash64("node"), "tiles").cast("int").alias("tile"), "tiles")
+    dealt = texts.join(placed, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("group", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "t")
+    parts = max(2, int(tied.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "tile", "id").mapInArrow(_cells(threshold), "a long, b long, k long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,21 +262,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     reps = groups.select(F.col("rep").alias("doc_id"), "n", "labels")
     tied = cut(ties(reps, threshold, recall))
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"))
-    active = tied.select(F.col("a").alias("id")).unionByName(tied.select(F.col("b").alias("id"))).distinct()
-    texts = cut(texts.join(active, "id", "left_semi"))  # only these texts can meet; the rest stays unread from here on
-    nearest = tied.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = cut(verified(nearest, texts, threshold))
-    classes = cut(components(links))
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))
-    crossing = tied.join(nearest, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    links = cut(links.unionByName(verified(crossing, texts, threshold)))
-    classes = cut(components(links))
-    rest = pairs_across(reps, tied, classes, threshold, recall).join(tied, ["a", "b"], "left_anti")
-    links = cut(links.unionByName(verified(rest, texts, threshold)))
+    found = cut(verified(tied, reps, texts, threshold))
+    links = found.filter("b is not null").select("a", "b")
     several = keyed.groupBy("doc_id").agg(F.min("key").alias("x"), F.max("key").alias("y")).filter("x < y")
     same_id = keyed.join(several, "doc_id", "left_semi").join(groups.select("key", "rep"), "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     classes = components(links.unionByName(same_id))
-    counted = links.select(F.col("a").alias("rep")).unionByName(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    counted = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("k").alias("n_links"))
     known = classes.select(F.col("node").alias("rep"), "component").join(counted, "rep", "left")
     # a class is known by key before the copies come in, so no join meets them all in one task
     by_key = groups.select("key", "rep", "n_copies", "rows").join(known, "rep", "left").select("key", F.coalesce("component", "rep").alias("class_id"), "n_links", "n_copies", "rows")
