@@ -253,6 +253,15 @@ class _Cache(dict):
 _loaded: dict[str, tuple[Bpe, _Cache, _Cache]] = {}
 
 
+def forget() -> None:
+    """Drops the loaded vocabularies and the words seen."""
+    for _, ids, names in _loaded.values():
+        ids.clear()
+        names.clear()
+        ids.other = names.other = None
+    _loaded.clear()
+
+
 def loaded(path: str) -> tuple[Bpe, _Cache, _Cache]:
     if path not in _loaded:
         bpe = Bpe(path)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from .components import components
-from .runtime import arrow_map, cut, join_groups
+from .runtime import arrow_map, bounded_batches, cut, join_groups, release
 from .textops import Words, mix, shingle_sets, shingles
 
 TREES, DEPTH = 20, 6
@@ -235,6 +235,8 @@ def _cells(threshold: float):
                     held.append(s)
         if cell is not None and (out := flush(cell, tiles)) is not None:
             yield out
+        tiles = out = None
+        release()
 
     return run
 
@@ -251,7 +253,7 @@ def verified(tied: DataFrame, sizes: DataFrame, texts: DataFrame, threshold: flo
     dealt = texts.join(placed, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     dealt = dealt.select("group", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "id", "t")
     parts = max(2, int(tied.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "tile", "id").mapInArrow(_cells(threshold), "a long, b long, k long")
+    return bounded_batches(dealt.repartition(parts, "group", "i", "j").sortWithinPartitions("group", "i", "j", "tile", "id")).mapInArrow(_cells(threshold), "a long, b long, k long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

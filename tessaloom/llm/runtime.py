@@ -34,6 +34,33 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: st
     return rows.join(small, key, how).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.drop(size), key, how))
 
 
+def bounded_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """``df``, after its session was told to send Python at most about ``most`` bytes in a batch
+    (a batch of 10,000 very long texts would fill an executor); a lower setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = conf.get(key, None)
+    if have is None or not have.removesuffix("b").isdigit() or int(have.removesuffix("b")) > most:
+        conf.set(key, str(most))
+    return df
+
+
+def release() -> None:
+    """Gives back what a Python worker holds beyond its partition: workers idle between stages,
+    and an executor's memory counts them all."""
+    import ctypes
+    import gc
+
+    from . import bpe, textops
+
+    bpe.forget()
+    textops.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[dict], dict | None], schema: StructType, max_chars: int = 1 << 20) -> DataFrame:
     """mapInArrow over slices of at most about ``max_chars`` characters of text (one row at
     least), so that a worker's memory follows one slice and never a whole batch. ``fn`` gets
@@ -61,5 +88,7 @@ def arrow_map(df: DataFrame, fn: Callable[[dict], dict | None], schema: StructTy
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(names)})
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in out_schema], schema=out_schema)
+                part = out = None
+        release()
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)

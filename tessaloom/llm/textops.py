@@ -31,6 +31,11 @@ def fold_table() -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
+def forget() -> None:
+    """Drops the powers that are kept from text to text."""
+    _powers.clear()
+
+
 def _power(name: str, base: int, n: int) -> np.ndarray:
     have = _powers.get(name)
     if have is None or len(have) < n:
