@@ -9,13 +9,17 @@ both copies agree with it for RUN = MIN_WORDS - WINDOW + 1 words at least. So:
    aggregation and a join, both on the hash);
 2. of the others, the words that follow the run and those before it come along, as many as can
    decide (WINDOW - 1 each way), as 32-bit hashes;
-3. suffixes are sorted by (run, words that follow, words before); each is compared with its
-   LOOK nearest neighbours, and the match is extended left and right;
-4. matches of MIN_WORDS words and more between different documents are kept; a document's
-   matches are united.
-
-Range partitions may split a run's suffixes anywhere, so hot passages spread over tasks; the
-first and last rows of every partition are compared once more across the borders.
+3. suffixes are sorted by (run, words that follow, words before). A suffix lies in the 50-word
+   windows of i words before the run and j after it, i + j = MIN_WORDS - RUN; a window is repeated
+   if its hash comes from different documents. Suffixes that agree in the j words that follow are
+   neighbours, so a task decides their windows by itself;
+4. the windows of neighbours that may go on in another task (or another stretch of CHUNK rows) are
+   decided by an aggregation on their hashes, to which a stretch gives a row a hash, and a row a
+   place only for windows of one document there;
+5. a document's repeated windows are united.
+
+Every window of MIN_WORDS words is decided, however many documents hold a run. Range partitions
+may split a run's suffixes anywhere, so hot passages spread over tasks.
 
 Result: one row per document that has repeated passages: doc_id, n_spans, n_words (words in
 them) and spans (start:end in words, end exclusive, comma-joined, in order). Null and empty
@@ -35,9 +39,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .runtime import arrow_map, cut, join_groups
-from .textops import Words, runs
+from .textops import Words, mix, runs
 
-MIN_WORDS, WINDOW, KMER, LOOK = 50, 26, 8, 48
+MIN_WORDS, WINDOW, KMER, CHUNK = 50, 26, 8, 1 << 16
 RUN = MIN_WORDS - WINDOW + 1
 SIDE = WINDOW - 1
 
@@ -97,7 +101,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 CONTEXT = "run long, after binary, before binary, doc long, pos int"
-MATCH = "doc long, lo int, hi int, run long, after binary, before binary, pos int"
+MATCH = "doc long, lo int, hi int, key long, least long, most long"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,11 +119,6 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array([part.column("d")[0].as_py()] * len(rows), pa.int64()), pa.array(pos, pa.int32())], names=["run", "after", "before", "doc", "pos"])
 
 
-def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Words in which the rows agree from the first on; padding agrees with nothing."""
-    return np.logical_and.accumulate((x == y) & (x != 0), axis=1).sum(1)
-
-
 def _fresh(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Whether a row differs from the one before it, but for its position."""
     out = np.ones(len(key), bool)
@@ -127,66 +126,106 @@ def _fresh(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, after: np.ndarray,
     return out
 
 
-def _neighbours(edges: bool):
+def _heads(first: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Row n: a hash of ``first`` and the first n words."""
+    out = [mix(first.view(np.uint64))]
+    for n in range(words.shape[1]):
+        out.append(mix(out[-1] * np.uint64(0x9E3779B97F4A7C15) + words[:, n]))
+    return np.stack(out)
+
+
+def _decide(rows: tuple[np.ndarray, ...], opens: bool, goes_on: bool) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of sorted rows, and what is left to decide of the first run, if it
+    ``opens`` before them, and of the last, if it ``goes_on``."""
+    key, doc, pos, after, before = rows
+    fresh = _fresh(key, doc, pos, after, before)
+    row = np.cumsum(fresh) - 1
+    k, d, r, l = key[fresh], doc[fresh], after[fresh], before[fresh]
+    right, left = np.full(len(k), -1), np.full(len(k), -1)
+    follow, precede = _heads(k, r), _heads(np.zeros(len(k), np.int64), l)
+    shared, alone = [], []
+    for i in range(SIDE + 1):
+        j = SIDE - i
+        whole = np.ones(len(k), bool)  # not cut off by the text's start or end
+        if i:
+            whole &= l[:, i - 1] != 0
+        if j:
+            whole &= r[:, j - 1] != 0
+        at = np.flatnonzero(whole)
+        if not len(at):
+            continue
+        window = mix(follow[j][at] * np.uint64(0xC2B2AE3D27D4EB4F) + precede[i][at] + np.uint64(i))
+        order = np.argsort(window, kind="stable")
+        at, window = at[order], window[order]
+        starts = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+        least, most = np.minimum.reduceat(d[at], starts), np.maximum.reduceat(d[at], starts)
+        many = np.repeat(least < most, np.diff(np.append(starts, len(at))))
+        left[at[many]], right[at[many]] = np.maximum(left[at[many]], i), np.maximum(right[at[many]], j)
+        beyond = np.zeros(len(at), bool)
+        if opens:
+            beyond |= follow[j][at] == follow[j][0]
+        if goes_on:
+            beyond |= follow[j][at] == follow[j][-1]
+        some = (least < most) & beyond[starts]
+        shared.append((window[starts[some]], least[some], most[some]))
+        lone = beyond & ~many
+        alone.append((at[lone], window[lone], np.full(int(lone.sum()), i)))
+    hit = left[row] >= 0
+    if hit.any():
+        yield _found(doc[hit], pos[hit] - left[row][hit], pos[hit] + RUN + right[row][hit])
+    if not shared:
+        return
+    window, least, most = (np.concatenate(x) for x in zip(*shared))
+    at, own, i = (np.concatenate(x) for x in zip(*alone))
+    known = (left[at] >= i) & (right[at] >= SIDE - i)  # the document's windows around cover it
+    window, least, most = np.append(window, own[known]), np.append(least, d[at[known]]), np.append(most, d[at[known]])
+    if len(window):
+        yield _found(None, None, None, window, least, most)
+    at, own, i = at[~known], own[~known], i[~known]
+    first = np.append(np.flatnonzero(fresh), len(row))  # the rows of a content
+    for a in range(0, len(at), CHUNK):
+        part = at[a : a + CHUNK]
+        n = first[part + 1] - first[part]
+        spread = np.repeat(np.arange(len(part)), n)
+        rows_of = np.repeat(first[part] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(len(spread))
+        lo = pos[rows_of] - i[a : a + CHUNK][spread]
+        yield _found(doc[rows_of], lo, lo + MIN_WORDS, own[a : a + CHUNK][spread], doc[rows_of], doc[rows_of])
+
+
+def _found(doc, lo, hi, key=None, least=None, most=None) -> pa.RecordBatch:
+    n = len(doc if doc is not None else key)
+    columns = [(doc, pa.int64()), (lo, pa.int32()), (hi, pa.int32()), (key if key is None else key.view(np.int64), pa.int64()), (least, pa.int64()), (most, pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, t) if x is None else pa.array(x.astype(t.to_pandas_dtype())) for x, t in columns], names=[x.split()[0] for x in MATCH.split(", ")])
+
+
+def _windows(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = known = None  # the rows of the last LOOK contents: run, context and document
-        opening, complete = None, False  # those of the first
+        held, n, opens = [], 0, True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, pos = (batch.column(n).to_numpy() for n in ("run", "doc", "pos"))
+            key, doc, pos = (batch.column(c).to_numpy() for c in ("run", "doc", "pos"))
             after = np.frombuffer(b"".join(batch.column("after").to_pylist()), np.uint32).reshape(-1, SIDE)
             before = np.frombuffer(b"".join(batch.column("before").to_pylist()), np.uint32).reshape(-1, SIDE)
-            if held is not None:
-                key, doc, pos, after, before = (np.concatenate((a, b)) for a, b in zip(held, (key, doc, pos, after, before)))
-            fresh = _fresh(key, doc, pos, after, before)
-            row = np.cumsum(fresh) - 1
-            k, d, r, l = key[fresh], doc[fresh], after[fresh], before[fresh]
-            right, left = np.full(len(k), -1), np.full(len(k), -1)
-            old = 0 if held is None else len(held[0])
-            if old:
-                right[row[:old]], left[row[:old]] = known
-            was = right.copy(), left.copy()
-            for s in range(1, LOOK + 1):
-                if len(k) <= s:
-                    break
-                together = k[s:] == k[:-s]
-                if not together.any():
-                    break  # no run has so many suffixes here
-                done = (left == SIDE) & (right == SIDE)
-                at = np.flatnonzero(together & (d[s:] != d[:-s]) & ~(done[s:] & done[:-s]))
-                if not len(at):
-                    continue
-                a, b = _agree(r[at], r[at + s]), _agree(l[at], l[at + s])
-                good = a + b + RUN >= MIN_WORDS
-                for side in (at[good], at[good] + s):  # both matches hold the run: their union is one stretch
-                    right[side], left[side] = np.maximum(right[side], a[good]), np.maximum(left[side], b[good])
-            wider = (right > was[0]) | (left > was[1])
-            hit = (right[row] >= 0) & (wider[row] | (np.arange(len(row)) >= old))
-            if hit.any():
-                m = int(hit.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array((pos[hit] - left[row][hit]).astype(np.int32)), pa.array((pos[hit] + RUN + right[row][hit]).astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int32())], names=_MATCH_NAMES)
-            if not complete:
-                fresh_rows = tuple(x[old:] for x in (key, doc, pos, after, before))
-                opening = fresh_rows if opening is None else tuple(np.concatenate(x) for x in zip(opening, fresh_rows))
-                group = np.cumsum(_fresh(*opening)) - 1
-                opening, complete = tuple(x[group < LOOK] for x in opening), group[-1] >= LOOK
-            keep = row > row[-1] - LOOK
-            held, known = tuple(x[keep] for x in (key, doc, pos, after, before)), (right[row][keep], left[row][keep])
-        if edges and held is not None:
-            # only the first and last runs can go on next door
-            opening, held = (tuple(c[x[0] == x[0][end]] for c in x) for x, end in ((opening, 0), (held, -1)))
-            key, doc, pos, after, before = (np.concatenate((a, b)) for a, b in zip(opening, held))
-            m = len(key)
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(key), pa.array([x.tobytes() for x in after], pa.binary()), pa.array([x.tobytes() for x in before], pa.binary()), pa.array(pos.astype(np.int32))], names=_MATCH_NAMES)
+            held.append((key, doc, pos, after, before))
+            n += len(key)
+            if n < chunk:
+                continue
+            rows = tuple(np.concatenate(x) for x in zip(*held))
+            last = int(np.argmax(rows[0] == rows[0][-1]))
+            if last:  # the last run waits for the rest of it
+                yield from _decide(tuple(x[:last] for x in rows), opens, False)
+                held, n, opens = [tuple(x[last:].copy() for x in rows)], n - last, False
+            if n >= chunk:
+                yield from _decide(tuple(np.concatenate(x) for x in zip(*held)), opens, True)
+                held, n, opens = [], 0, True
+        if held:
+            yield from _decide(tuple(np.concatenate(x) for x in zip(*held)), opens, True)
 
     return run
 
 
-_MATCH_NAMES = [x.split()[0] for x in MATCH.split(", ")]
-
-
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_spans, n_words, spans."""
     kept = cut(kept_suffixes(docs, id_col, text_col))
     shared = kept.groupBy("run").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("rows")).filter("least < most").select("run", "rows")
@@ -194,9 +233,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     contexts = _texts(docs, id_col, text_col).join(per_doc.withColumnRenamed("doc", "d"), "d").mapInArrow(_contexts, CONTEXT)
     parts = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ("run", "after", "before", "doc", "pos")
-    found = cut(contexts.repartitionByRange(parts, *order[:-1]).sortWithinPartitions(*order).mapInArrow(_neighbours(True), MATCH))
-    borders = found.filter("run is not null").select("run", "after", "before", "doc", "pos").coalesce(1).sortWithinPartitions(*order)
-    matches = found.filter("run is null").select("doc", "lo", "hi").unionByName(borders.mapInArrow(_neighbours(False), MATCH).select("doc", "lo", "hi"))
+    found = cut(contexts.repartitionByRange(parts, *order[:-1]).sortWithinPartitions(*order).mapInArrow(_windows(chunk), MATCH))
+    open_ends = found.filter("key is not null")
+    repeated = open_ends.groupBy("key").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter("least < most").select("key")
+    across = open_ends.filter("doc is not null").join(repeated, "key", "left_semi")
+    matches = found.filter("key is null").unionByName(across).select("doc", "lo", "hi")
     spans = matches.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("s"))
     united = F.expr("""aggregate(s, cast(array() as array<struct<lo: int, hi: int>>), (u, x) ->
         case when size(u) > 0 and element_at(u, -1).hi >= x.lo

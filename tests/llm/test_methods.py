@@ -285,3 +285,30 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, FOLDER).toPandas()
     assert set(out.columns) == {"doc_id", "ids", "n_tokens", "decoded"} and 0 < len(out) < 200
     assert (out.ids.map(len) == out.n_tokens).all()
+
+
+@pytest.mark.parametrize("chunk", [suffix.CHUNK, 40])
+def test_passages_beside_a_hot_stretch(spark, chunk):
+    """Pairs share few words next to words that very many documents hold: every 50-word window
+    is decided, in one stretch and in many."""
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    hot = new(40)
+    texts = [new(40) + hot + new(40) for _ in range(300)]
+    for k, size in enumerate([12, 15, 20, 25] * 5):
+        own = new(size)
+        for i in (2 * k, 2 * k + 1):
+            texts[i] = new(40) + (own + hot if k % 2 else hot + own) + new(40)
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    words = textops.Words(texts)
+    windows = [textops.runs(words.of(i), suffix.MIN_WORDS).tolist() for i in range(len(words))]
+    owners = Counter(h for w in windows for h in set(w))
+    want = {}
+    for i, w in enumerate(windows):
+        at = [a for a, h in enumerate(w) if owners[h] > 1]
+        if at:
+            want[i] = f"{at[0]}:{at[-1] + suffix.MIN_WORDS}"
+    assert len(want) == 40
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.spans for r in suffix.repeated_passages(frame, chunk=chunk).collect()} == want
