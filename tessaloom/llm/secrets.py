@@ -2,7 +2,9 @@
 
 Strong parts are secrets by themselves: assignments, access identifiers and hexadecimal runs.
 Weak parts say nothing alone: a bare 40-character key-like token, or an endpoint (a URL or
-host with a port). Within a text, a scope is a block of lines without an empty line between
+host with a port: a dotted name, an IP or localhost; or a name under one of six usual
+domains. Other names without a dot don't count, as any word before a colon and number would be
+one). Within a text, a scope is a block of lines without an empty line between
 them. Every part spans an interval widened by ``reach`` characters and clipped to its scope;
 an interval join by a sweep over sorted starts (memory and time follow the parts of one text)
 links each weak part to the complementary parts it overlaps. A bare key is reported only if
@@ -33,7 +35,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 BARE = re.compile(r"(?<![A-Za-z0-9+/=])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])")
-ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|(?<![A-Za-z0-9.-])(?:[a-z0-9-]++\.)+(?:com|net|org|io|internal|local)(?::\d{2,5})?\b")
+ENDPOINT = re.compile(r"(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|ftp|s3)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+|(?<![A-Za-z0-9.-])(?:localhost|\d{1,3}(?:\.\d{1,3}){3}|(?:[A-Za-z0-9-]++\.)+[A-Za-z][A-Za-z0-9-]*+):\d{1,5}\b|\[[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*\]:\d{1,5}\b|(?<![A-Za-z0-9.-])(?:[a-z0-9-]++\.)+(?:com|net|org|io|internal|local)(?::\d{2,5})?\b")
 SCOPE_BREAK = re.compile(r"\n\s*\n")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -82,15 +84,15 @@ def scan(text: str | None, reach: int = REACH) -> tuple[list[Span], list[Span],
     text = text or ""
     base = base_spans(text)
     access = [s for s in base if s[1] == 1]
-    endpoints = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)] if "://" in text or "." in text and (base or access) else []
-    if not access and not endpoints:
-        return base, base, []
     covered = [(s[0], s[2]) for s in base]
     keys = []
     for m in BARE.finditer(text):
         i = bisect_right(covered, (m.start(), 1 << 62))
         if not any(a < m.end() and m.start() < b for a, b in covered[max(0, i - 3) : i + 1]) and re.search(r"[0-9]", m[0]) and re.search(r"[A-Z]", m[0]) and re.search(r"[a-z]", m[0]):
             keys.append((m.start(), 3, m.end()))
+    if not keys and all(s[1] == 2 for s in base):
+        return base, base, []  # an endpoint needs one of those
+    endpoints = [(m.start(), 4, m.end()) for m in ENDPOINT.finditer(text)]
     scopes = [0, *(m.end() for m in SCOPE_BREAK.finditer(text)), len(text) + 1]
     links = _overlaps(keys, sorted(access + endpoints), scopes, reach)
     linked = sorted({w for w, _ in links})

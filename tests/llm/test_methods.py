@@ -312,3 +312,11 @@ def test_passages_beside_a_hot_stretch(spark, chunk):
     assert len(want) == 40
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.spans for r in suffix.repeated_passages(frame, chunk=chunk).collect()} == want
+
+
+@pytest.mark.parametrize("host", ["db.prod.internal:5432", "db.prod.internal", "db.corp.example:5432", "DB1.Corp.Lan:5432", "10.0.0.7:6379", "localhost:5432", "[fe80::1]:5432", "https://x.y/z"])
+def test_key_beside_an_endpoint_alone(host):
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert secrets.redact(f"host {host} user app {key}") == "host [ENDPOINT] user app [KEY]"
+    assert secrets.redact(f"host {host} user app") == f"host {host} user app"
+    assert secrets.redact(f"host {host}\n\n{key}") == f"host {host}\n\n{key}"
