@@ -96,6 +96,9 @@ _cache: dict[str, tuple[str, ...]] = {}
 def licenses_of(block: str) -> tuple[str, ...]:
     found = _cache.get(block)
     if found is None:
+        have = set(_words(block))
+        if not any(mark <= have for wordings in _compressors()[2].values() for _, mark in wordings):
+            return ()  # none can be confirmed
         found = tuple(name for saving, name in ranked(block) if saving >= MIN_SAVING and confirmed(block, name))
         if len(_cache) >= 50_000:
             _cache.clear()
@@ -105,21 +108,29 @@ def licenses_of(block: str) -> tuple[str, ...]:
 
 def blocks(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
+    start = end = -1  # of the line
     for m in CUE.finditer(text):
-        if out and m.start() < out[-1][1]:
-            continue
-        lo, hi = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        hi = len(text) if hi < 0 else hi
+        if m.end() > end:
+            start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+            end = len(text) if end < 0 else end
+        lo, hi = start, end
         if hi - lo > MAX_BLOCK:
             lo, hi = max(lo, m.start() - REACH), min(hi, m.end() + REACH)
             if out:
                 lo = max(lo, min(out[-1][1], m.start() - REACH // 4))
-        out.append((lo, hi))
+        if not out or m.start() >= out[-1][1] or hi > out[-1][1]:  # a stretch may overlap the one before
+            out.append((lo, hi))
     return out
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:
-    return [(lo, hi, name) for lo, hi in (blocks(text) if text else []) for name in licenses_of(text[lo:hi])]
+    out, last = [], {}
+    for lo, hi in blocks(text) if text else []:
+        for name in licenses_of(text[lo:hi]):
+            if lo >= last.get(name, 0):  # overlapping stretches may hold the same notice
+                out.append((lo, hi, name))
+                last[name] = hi
+    return out
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

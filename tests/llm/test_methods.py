@@ -320,3 +320,10 @@ def test_key_beside_an_endpoint_alone(host):
     assert secrets.redact(f"host {host} user app {key}") == "host [ENDPOINT] user app [KEY]"
     assert secrets.redact(f"host {host} user app") == f"host {host} user app"
     assert secrets.redact(f"host {host}\n\n{key}") == f"host {host}\n\n{key}"
+
+
+@pytest.mark.parametrize("gap", range(300, 460, 10))
+def test_license_across_a_stretch_of_a_long_line(gap):
+    for notice, want in [("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "MIT")]:
+        text = "my driving license " + ("lorem ipsum " * 60)[: gap - 20] + " " + notice + " dolor sit" * 200
+        assert [x[2] for x in licenses.scan(text)] == [want], (gap, want)
