@@ -1,7 +1,8 @@
 """License scans by conditional compression.
 
 A candidate block is a line with a licensing word; of a longer line, the stretches of REACH
-characters around such words. Each block is compressed alone, and with each template as
+characters around such words. For a word whose line confirms nothing, overlapping windows over
+that line and adjoining non-empty ones, without comment prefixes, are blocks too. Each block is compressed alone, and with each template as
 zstandard raw dictionary; templates are ranked by how much smaller it gets. Those that save
 MIN_SAVING are then confirmed, in that order, by exact wording: the words of one of the
 template's sentences must occur in the block in order, with at most a quarter of them missing and
@@ -16,6 +17,7 @@ columns aren't read. Nothing is shuffled; blocks seen before come from a cache o
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -29,6 +31,9 @@ MIN_SAVING = 0.2
 MIN_WORDS_SHARE = 0.75
 REACH = 400
 MAX_BLOCK = 1200
+#: Characters before and after a cue, of the windows over adjoining lines.
+WINDOWS = ((0, REACH), (120, 280), (280, 120))
+PREFIX = re.compile(r"[ \t]*(?:[#*/;%>!|-]+|<!--|REM\b|dnl\b)?[ \t]*")
 CUE = re.compile(r"licen[sc]|copyright|redistribut|warrant|permission is|spdx|public domain|all rights reserved|\bCC BY|\bCC0|\bGPL|\bMIT\b", re.I)
 
 #: Usual notices of well-known licenses. Upper-case words and numbers of a
@@ -123,6 +128,37 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def _lines_around(text: str, at: int, end: int, back: int, ahead: int) -> list[tuple[int, int]]:
+    """The line of text[at:end] and adjoining non-empty ones, without comment prefixes, about
+    ``back`` characters before and ``ahead`` after it."""
+    floor = max(0, at - back - MAX_BLOCK)
+    lo = max(text.rfind("\n", floor, at) + 1, floor)
+    hi = text.find("\n", end, end + ahead)
+    hi = min(len(text), end + ahead) if hi < 0 else hi
+    body = max(PREFIX.match(text, lo, at).end(), at - max(back, 120))
+    parts = [(body, hi)]
+    left = back - (at - body)
+    while left > 0 and lo > 0 and text[lo - 1] == "\n":
+        floor, stop = max(0, lo - 1 - left), lo - 1
+        lo = max(text.rfind("\n", floor, stop) + 1, floor)
+        body = PREFIX.match(text, lo, stop).end()
+        if not text[body:stop].strip():
+            break
+        parts.insert(0, (body, stop))
+        left -= stop - body
+    left = ahead - (hi - end)
+    while left > 0 and hi < len(text) and text[hi] == "\n":
+        start = hi + 1
+        hi = text.find("\n", start, start + left)
+        hi = min(len(text), start + left) if hi < 0 else hi
+        body = PREFIX.match(text, start, hi).end()
+        if not text[body:hi].strip():
+            break
+        parts.append((body, hi))
+        left -= hi - body
+    return parts
+
+
 def scan(text: str | None) -> list[tuple[int, int, str]]:
     out, last = [], {}
     for lo, hi in blocks(text) if text else []:
@@ -130,7 +166,21 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
             if lo >= last.get(name, 0):  # overlapping stretches may hold the same notice
                 out.append((lo, hi, name))
                 last[name] = hi
-    return out
+    explained, last = [(lo, hi) for lo, hi, _ in out], {}
+    for m in CUE.finditer(text or ""):
+        i = bisect_right(explained, (m.start(), len(text)))
+        if i and m.start() < explained[i - 1][1]:
+            continue
+        for back, ahead in WINDOWS:
+            parts = _lines_around(text, m.start(), m.end(), back, ahead)
+            if len(parts) < 2:
+                continue
+            lo, hi = parts[0][0], parts[-1][1]
+            for name in licenses_of(" ".join(text[a:b] for a, b in parts)):
+                if lo >= last.get(name, 0):
+                    out.append((lo, hi, name))
+                    last[name] = hi
+    return sorted(out, key=lambda x: x[0])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -327,3 +327,20 @@ def test_license_across_a_stretch_of_a_long_line(gap):
     for notice, want in [("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "MIT")]:
         text = "my driving license " + ("lorem ipsum " * 60)[: gap - 20] + " " + notice + " dolor sit" * 200
         assert [x[2] for x in licenses.scan(text)] == [want], (gap, want)
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("width", [40, 60, 78])
+def test_wrapped_license_headers(prefix, width):
+    import textwrap
+
+    notices = {
+        "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
+        "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    }
+    for want, notice in notices.items():
+        text = "\n".join(["intro", ""] + [prefix + x for x in textwrap.wrap(notice, width)] + ["", "more text here"])
+        found = licenses.scan(text)
+        assert [x[2] for x in found] == [want], (want, found)
+        assert all("intro" not in text[a:b] and "more" not in text[a:b] for a, b, _ in found)
