@@ -6,15 +6,19 @@ forward score of every prefix once (the best sum of log-probabilities of pieces
 ties to fewer pieces), however many pre-tokens share it, and stores the number of pieces at the
 terminal nodes. Characters outside the vocabulary fall back to their bytes, one piece a byte.
 
-Pieces come from a public vocabulary, whose order gives their log-probabilities by Zipf's law;
-nothing is trained. Results: doc_id, n_pretokens, n_tokens of every row; null and empty texts
+Pieces come from a public vocabulary. No unigram file is at hand, so its order gives their
+log-probabilities, by Zipf's law: the counts are those of that model, not of the file's own
+tokenizer; nothing is trained. Results: doc_id, n_pretokens, n_tokens of every row; null and empty texts
 count 0. Rows are independent: repeated ids and rows each give their row; other columns aren't
-read. Nothing is shuffled; counts of words seen before come from a cache of bounded size.
+read, and an empty table gives no rows. A pre-token of any length is scored whole, in some 16
+bytes a character. Nothing is shuffled; counts of words seen before come from a cache of bounded
+size.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,75 +29,76 @@ from .runtime import arrow_map
 MARK = "▁"
 CACHE_WORDS = 400_000
 CACHE_LENGTH = 64
+SCALE = 1 << 20
 END = ""
 
 
-def zipf_pieces(path: str) -> dict[str, float]:
-    """Pieces of a sentencepiece file and their log-probabilities, proportional to 1 / rank."""
+def zipf_pieces(path: str) -> dict[str, int]:
+    """Pieces of a sentencepiece file and the logarithms of their probabilities, proportional to
+    1 / rank, in units of 1 / SCALE: whole numbers add up without error, so ties are exact."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
     norm = math.log(sum(1 / (i + 1) for i in range(len(names))))
-    return {t: -math.log(i + 1) - norm for i, t in enumerate(names)}
+    return {t: round(SCALE * (-math.log(i + 1) - norm)) for i, t in enumerate(names)}
 
 
-def vocabulary_trie(pieces: dict[str, float]) -> dict:
-    root: dict = {}
-    for piece, score in pieces.items():
-        node = root
-        for c in piece:
-            node = node.setdefault(c, {})
-        node[END] = score
-    return root
+def shared_prefixes(words: list[str]) -> list[int]:
+    """For sorted distinct words, how many characters each shares with the one before."""
+    out, before = [], ""
+    for word in words:
+        n, most = 0, min(len(word), len(before))
+        if word[:most] == before[:most]:
+            n = most
+        else:
+            while word[n] == before[n]:
+                n += 1
+        out.append(n)
+        before = word
+    return out
 
 
 class TrieCounter:
-    def __init__(self, pieces: dict[str, float]):
-        self.root = vocabulary_trie(pieces)
-        self.byte_score = min(pieces.values(), default=0.0) - 10.0
+    """The trie of pre-tokens is kept in depth-first order: sorted distinct words, each with the
+    depth at which it leaves the path of the one before; its edge is the rest of the word. So a
+    node costs no object, and memory follows the words and the longest of them."""
+
+    def __init__(self, pieces: dict[str, int]):
+        self.backward: dict = {}  # the pieces' trie, read from their ends
+        for piece, score in pieces.items():
+            node = self.backward
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[END] = score
+        self.byte_score = min(pieces.values(), default=0) - 10 * SCALE
         self.cache: dict[str, int] = {}
 
-    def insert(self, words) -> dict:
-        """The trie of the words; terminals hold the whole word."""
-        root: dict = {}
-        for word in words:
-            node = root
-            for c in word:
-                below = node.get(c)
-                if below is None:
-                    below = node[c] = {}
-                node = below
-            node[END] = word
-        return root
-
     def count(self, words) -> dict[str, int]:
         """Word to number of pieces, each shared prefix scored once."""
-        root, byte_score, out = self.root, self.byte_score, {}
-        # node of the words' trie, scores and counts of its prefixes, and the pieces under way:
-        # (where they begin, node in the vocabulary's trie)
-        stack = [(self.insert(words), [0.0], [0], [(0, root)])]
-        while stack:
-            node, scores, counts, open_pieces = stack.pop()
-            depth = len(scores)
-            for c, below in node.items():
-                if c == END:
-                    out[below] = counts[-1]
-                    continue
-                size = len(c.encode("utf-8"))
-                best, least = scores[-1] + size * byte_score, counts[-1] + size
-                going = []
-                for begin, place in open_pieces:
-                    place = place.get(c)
-                    if place is not None:
-                        going.append((begin, place))
-                        score = place.get(END)
-                        if score is not None:
-                            score += scores[begin]
-                            if score > best + 1e-12 or (score > best - 1e-12 and counts[begin] + 1 < least):
-                                best, least = score, counts[begin] + 1
-                going.append((depth, root))
-                stack.append((below, scores + [best], counts + [least], going))
+        words = sorted(set(words))
+        byte_score, backward, out = self.byte_score, self.backward, {}
+        scores, counts = array("q", [0]), array("q", [0])  # of the prefixes on the path
+        for word, depth in zip(words, shared_prefixes(words)):
+            del scores[depth + 1 :], counts[depth + 1 :]
+            for end in range(depth, len(word)):
+                c = word[end]
+                size = 1 if c < "\x80" else len(c.encode("utf-8"))
+                best, least = scores[end] + size * byte_score, counts[end] + size
+                place, begin = backward.get(c), end
+                while place is not None:
+                    score = place.get(END)
+                    if score is not None:
+                        score += scores[begin]
+                        if score > best or (score == best and counts[begin] + 1 < least):
+                            best, least = score, counts[begin] + 1
+                    if not begin:
+                        break
+                    begin -= 1
+                    place = place.get(word[begin])
+                scores.append(best)
+                counts.append(least)
+            out[word] = counts[-1]
         return out
 
     def totals(self, texts: list[str | None]) -> tuple[list[int], list[int]]:
@@ -104,32 +109,12 @@ class TrieCounter:
             if len(cache) + len(new) > CACHE_WORDS:
                 cache.clear()
                 new = {w for words in split for w in words}
-            long = [w for w in new if len(w) > CACHE_LENGTH]
-            cache.update(self.count(w for w in new if len(w) <= CACHE_LENGTH))
-            found = {w: self.long_count(w) for w in long}
-            if found:
-                return [len(w) for w in split], [sum(found[x] if x in found else cache[x] for x in w) for w in split]
-        return [len(w) for w in split], [sum(map(cache.__getitem__, w)) for w in split]
-
-    def long_count(self, word: str) -> int:
-        """One word alone, so that the prefixes' scores needn't be kept apart: a chain."""
-        scores, counts, open_pieces = [0.0], [0], [(0, self.root)]
-        for c in word:
-            size = len(c.encode("utf-8"))
-            best, least, going = scores[-1] + size * self.byte_score, counts[-1] + size, []
-            for begin, place in open_pieces:
-                place = place.get(c)
-                if place is not None:
-                    going.append((begin, place))
-                    if END in place:
-                        score = place[END] + scores[begin]
-                        if score > best + 1e-12 or (score > best - 1e-12 and counts[begin] + 1 < least):
-                            best, least = score, counts[begin] + 1
-            going.append((len(scores), self.root))
-            scores.append(best)
-            counts.append(least)
-            open_pieces = going
-        return counts[-1]
+            cache.update(self.count(new))
+        totals = [len(w) for w in split], [sum(map(cache.__getitem__, w)) for w in split]
+        for w in new:  # long words aren't kept
+            if len(w) > CACHE_LENGTH:
+                del cache[w]
+        return totals
 
 
 _loaded: dict[str, TrieCounter] = {}
