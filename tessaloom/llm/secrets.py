@@ -9,9 +9,11 @@ them. Every part spans an interval widened by ``reach`` characters and clipped t
 an interval join by a sweep over sorted starts (memory and time follow the parts of one text)
 links each weak part to the complementary parts it overlaps. A bare key is reported only if
 an access identifier or an endpoint co-occurs, an endpoint only if a secret does, an
-assignment, bare key or access identifier being such.
+assignment, bare key or access identifier being such. A bare key inside or across any base
+span is no part of its own.
 
-Null and empty texts have no spans. Offsets are code points, ends exclusive. Spans come in
+Null and empty texts have no spans; an empty table gives no rows. A text of any length is
+scanned in one piece, in memory that follows its parts. Offsets are code points, ends exclusive. Spans come in
 order of start, then of the kinds in KINDS, then of end. Rows are independent, so repeated
 ids, null ids and repeated rows each give their row; other columns aren't read. Nothing is
 shuffled, and whole texts are scanned.
@@ -84,11 +86,14 @@ def scan(text: str | None, reach: int = REACH) -> tuple[list[Span], list[Span],
     text = text or ""
     base = base_spans(text)
     access = [s for s in base if s[1] == 1]
-    covered = [(s[0], s[2]) for s in base]
+    starts, reached, furthest = [s[0] for s in base], [0], 0  # the greatest end of the first i base spans
+    for s in base:
+        furthest = max(furthest, s[2])
+        reached.append(furthest)
     keys = []
     for m in BARE.finditer(text):
-        i = bisect_right(covered, (m.start(), 1 << 62))
-        if not any(a < m.end() and m.start() < b for a, b in covered[max(0, i - 3) : i + 1]) and re.search(r"[0-9]", m[0]) and re.search(r"[A-Z]", m[0]) and re.search(r"[a-z]", m[0]):
+        covered = reached[bisect_left(starts, m.end())] > m.start()
+        if not covered and re.search(r"[0-9]", m[0]) and re.search(r"[A-Z]", m[0]) and re.search(r"[a-z]", m[0]):
             keys.append((m.start(), 3, m.end()))
     if not keys and all(s[1] == 2 for s in base):
         return base, base, []  # an endpoint needs one of those
