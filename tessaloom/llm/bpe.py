@@ -2,22 +2,26 @@
 
 The vocabulary is a tokenizers file of the word-end kind (lower case, white space dropped).
 
-Encoding. A pre-token's symbols enter a buffer. Whether a token at the buffer's left is final
-depends on the symbols to its right only as far as the merge list lets competition carry:
-``sufficient_lookahead`` computes that distance. A rule (u, v) can lose its v to a rule (v, y)
-of earlier rank, if y forms, and if that rule isn't itself robbed of y; and v itself must form.
-Ranks fall along the chain, so one pass over the rules gives, for every token, how many symbols
-right of its end can matter; the greatest is the lookahead. Once so many symbols follow a token,
-it is emitted and forgotten, so memory is constant whatever the pre-token's length. The merges
-inside a buffer take the pair of least rank, leftmost first, from a heap over a linked list.
-
-Decoding feeds token bytes into an incremental UTF-8 state machine, so characters split over
-tokens come out whole, and invalid bytes as U+FFFD. ``render`` gives what the file's own
+Encoding. A pre-token's symbols enter a buffer. A token at the buffer's left is stable, and is
+emitted and forgotten, once as many symbols follow it as can bear on it. ``lookaheads`` computes
+that number for every token from the merge list; the greatest is the list's sufficient lookahead,
+which bounds the buffer. Merges act in the order of their ranks. A rule (u, v) needs v to form, and
+v not to be taken by an earlier rule (v, y); likewise u, less the width of v. A formed token can
+still be taken by any rule (t, y), if y forms. Ranks fall along these chains, so one pass over the
+rules gives the numbers. This holds where every rule makes a token of its own from parts made
+before it; other lists have no bound, and their pre-tokens are emitted at their ends. The buffer
+is looked at every STEP symbols and at the pre-token's end. The merges inside it take the pair of
+least rank, leftmost first, by scanning or, in longer buffers, from a heap over a linked list.
+
+Decoding feeds the tokens' bytes, in order, into an incremental UTF-8 state machine whose state
+goes on from token to token, so characters split over tokens come out whole, and invalid bytes as
+U+FFFD. ``decode`` gives the text (a word end is a space); ``render`` gives what the file's own
 decoder gives (the file here names none: token strings joined by a space).
 
 Special tokens in a text are recognised as the library does; none are added. Null counts as
-empty: no tokens. Rows are independent: repeated ids, null ids and repeated rows each give
-their row. Nothing is shuffled. Words seen before come from a cache of bounded size.
+empty: no tokens. An empty table gives no rows. Rows are independent: repeated ids, null ids and
+repeated rows each give their row; other columns aren't read. Whole texts of any length are
+encoded. Nothing is shuffled. Words seen before come from a cache of bounded size.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from itertools import chain
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +49,8 @@ _SPACES = re.compile(f"[{_SPACE}]+")
 CACHE_WORDS = 200_000
 CACHE_LENGTH = 64
 SHORT = 24
+STEP = 32
+FEED = 4096  # words whose bytes enter the decoder at once
 NEVER = 1 << 60
 
 
@@ -53,15 +61,22 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def sufficient_lookahead(merges: list[tuple[str, str]], width) -> int:
-    """Symbols right of a token's end that can bear on it, at most; ``width`` of a token."""
-    robbed: dict[str, int] = {}  # by left part: the most that any rule so far needs beyond it
-    forming: dict[str, int] = {}  # by token: what its own forming needs beyond its end
+def lookaheads(merges: list[tuple[str, str]], width) -> dict[str, int] | None:
+    """By token, the symbols right of its end that can bear on it, at most (0 if not listed);
+    ``width`` of a token. None if the list gives no bound."""
+    need: dict[str, int] = {}
+    made = {u + v for u, v in merges}
+    if len(made) < len(merges):
+        return None
     for u, v in merges:
-        need = max(forming.get(v, 0), robbed.get(v, 0))
-        forming[u + v] = max(forming.get(u + v, 0), need)
-        robbed[u] = max(robbed.get(u, 0), width(v) + need)
-    return max([0, *robbed.values()])
+        beyond, wide = need.get(v, 0), width(v)
+        if u in made or v in made or u + v not in made:
+            return None  # a part is made later
+        made.discard(u + v)
+        forms = max(beyond, need.get(u, 0) - wide)
+        need[u] = max(need.get(u, 0), wide + beyond)
+        need[u + v] = max(need.get(u + v, 0), forms)
+    return need
 
 
 class Bpe:
@@ -77,11 +92,13 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
         self.name_bytes = {i: t.encode("utf-8") for i, t in self.names.items()}
-        self.lookahead = sufficient_lookahead(merges, lambda t: len(t.removesuffix(self.end)))
+        self.need = lookaheads(merges, lambda t: len(t.removesuffix(self.end)))
+        self.lookahead = max(self.need.values(), default=0) if self.need is not None else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _SPACE))
         self.alphabet = byte_alphabet()
         self.recent: dict[str, list[int]] = {}
-        self.bytes_of = {c: b for b, c in enumerate(self.alphabet)}
+        bytes_of = {c: b for b, c in enumerate(self.alphabet)}
+        self.token_bytes = {i: t.encode() if t in self.special else bytes(bytes_of[c] for c in t.removesuffix(self.end)) + b" " * bool(self.end and t.endswith(self.end)) for i, t in self.names.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     # --- encoding
@@ -127,21 +144,22 @@ class Bpe:
                 ranks[i - 1] = rank((parts[i - 1], parts[i]), NEVER)
         return parts
 
-    def stream(self, symbols: Iterable[str]) -> Iterator[str]:
-        """Tokens of one pre-token from its symbols, each as soon as it is final."""
+    def stream(self, symbols: Iterable[str], step: int = STEP) -> Iterator[str]:
+        """Tokens of one pre-token from its symbols, each soon after it is stable."""
         buffer: list[str] = []
-        most = 4 * self.lookahead + 64
+        need, look = self.need, step
         for s in symbols:
             buffer.append(s)
-            if len(buffer) >= most:
-                used, room = 0, len(buffer) - self.lookahead
-                for token in self.merge(buffer):
-                    width = len(token.removesuffix(self.end))
-                    if used + width > room:
+            if len(buffer) >= look and need is not None:
+                used = 0
+                for token in self.merge(buffer[:]):
+                    end = used + len(token.removesuffix(self.end))
+                    if len(buffer) - end < need.get(token, 0):
                         break
-                    used += width
+                    used = end
                     yield token
                 del buffer[:used]
+                look = len(buffer) + step
         yield from self.merge(buffer)
 
     def symbols(self, piece: str) -> Iterator[str]:
@@ -152,13 +170,8 @@ class Bpe:
         yield alphabet[data[-1]] + self.end
 
     def piece(self, piece: str) -> list[int]:
-        """Ids of one pre-token; those that fit the first buffer whole are merged at once."""
+        """Ids of one pre-token."""
         vocab = self.vocab
-        if 4 * len(piece) < 4 * self.lookahead + 64:
-            alphabet = self.alphabet
-            parts = [alphabet[b] for b in piece.encode("utf-8")]
-            parts[-1] += self.end
-            return [vocab[t] for t in self.merge(parts)]
         return [vocab[t] for t in self.stream(self.symbols(piece))]
 
     def word(self, word: str) -> list[int]:
@@ -197,57 +210,42 @@ class Bpe:
             elif part:
                 yield None, part
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for special, part in self.segments(text or ""):
-            if special is not None:
-                out.append(special)
-            else:
-                for w in self.stretches(self.normal(part)):
-                    out += self.word(w)
-        return out
-
     # --- decoding
 
-    def token_bytes(self, i: int) -> bytes:
-        name = self.names[i]
-        if name in self.special:
-            return name.encode()
-        return bytes(self.bytes_of[c] for c in name.removesuffix(self.end)) + b" " * name.endswith(self.end)
-
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Pieces of text; a word end gives a space."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            if piece := machine.decode(self.token_bytes(i)):
-                yield piece
-        if piece := machine.decode(b"", True):
-            yield piece
+        return decoded(map(self.token_bytes.__getitem__, ids))
 
     def render(self, ids: list[int]) -> str:
-        """The file's own decoding: the token strings' bytes, with spaces between them, enter
-        the state machine in one go."""
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        return machine.decode(b" ".join(map(self.name_bytes.__getitem__, ids)), True)
+        """The file's own decoding: the token strings, joined by a space."""
+        return "".join(decoded(x for k, i in enumerate(ids) for x in ((b" ", self.name_bytes[i]) if k else (self.name_bytes[i],))))
+
+
+def decoded(chunks: Iterable[bytes]) -> Iterator[str]:
+    """Pieces of text from bytes cut anywhere: the state machine carries what is incomplete."""
+    machine = codecs.getincrementaldecoder("utf-8")("replace")
+    feed = machine.decode
+    for chunk in chunks:
+        if piece := feed(chunk):
+            yield piece
+    if piece := feed(b"", True):
+        yield piece
 
 
 class _Cache(dict):
-    """Word to (ids, rendering), as text; forgets all when full."""
+    """What ``make`` gives for a word; forgets all when full."""
 
-    def __init__(self, bpe: Bpe, part: int, other: _Cache | None = None):
+    def __init__(self, make):
         super().__init__()
-        self.bpe, self.part, self.other = bpe, part, other
+        self.make = make
 
-    def __missing__(self, word: str) -> str:
-        ids = self.bpe.word(word)
-        both = " ".join(map(str, ids)), self.bpe.render(ids)
+    def __missing__(self, word: str):
+        made = self.make(word)
         if len(word) <= CACHE_LENGTH:
-            for cache in (self, self.other):
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-            self[word] = both[self.part]
-            self.other[word] = both[1 - self.part]
-        return both[self.part]
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = made
+        return made
 
 
 _loaded: dict[str, tuple[Bpe, _Cache, _Cache]] = {}
@@ -255,35 +253,47 @@ _loaded: dict[str, tuple[Bpe, _Cache, _Cache]] = {}
 
 def forget() -> None:
     """Drops the loaded vocabularies and the words seen."""
-    for _, ids, names in _loaded.values():
-        ids.clear()
-        names.clear()
-        ids.other = names.other = None
     _loaded.clear()
 
 
 def loaded(path: str) -> tuple[Bpe, _Cache, _Cache]:
+    """The vocabulary, and by word: (ids as text, bytes of their names), (ids, bytes of their text)."""
     if path not in _loaded:
         bpe = Bpe(path)
-        ids, names = _Cache(bpe, 0), _Cache(bpe, 1)
-        ids.other, names.other = names, ids
-        _loaded[path] = bpe, ids, names
+        names, raw = bpe.name_bytes.__getitem__, bpe.token_bytes.__getitem__
+
+        def shown(word: str) -> tuple[str, bytes]:
+            ids = bpe.word(word)
+            return " ".join(map(str, ids)), b" ".join(map(names, ids))
+
+        def plain(word: str) -> tuple[list[int], bytes]:
+            ids = bpe.word(word)
+            return ids, b"".join(map(raw, ids))
+
+        _loaded[path] = bpe, _Cache(shown), _Cache(plain)
     return _loaded[path]
 
 
-def encoded(path: str, text: str | None) -> tuple[str, str]:
-    """Ids and rendering of a whole text, each joined by a space."""
-    bpe, ids, names = loaded(path)
-    a, b = [], []
+def _words(bpe: Bpe, text: str | None, cache: _Cache, of_special) -> Iterator[tuple]:
+    """Of a text's words in order, what the cache has of each."""
     for special, part in bpe.segments(text or ""):
         if special is not None:
-            a.append(str(special))
-            b.append(part)
+            yield of_special(special)
         else:
-            words = bpe.stretches(bpe.normal(part))
-            a += map(ids.__getitem__, words)
-            b += map(names.__getitem__, words)
-    return " ".join(a), " ".join(b)
+            yield from map(cache.__getitem__, bpe.stretches(bpe.normal(part)))
+
+
+def _fed(chunks: list[bytes], between: bytes) -> Iterator[bytes]:
+    """The words' bytes, some thousand words at once, as the state machine takes any cut."""
+    for lo in range(0, len(chunks), FEED):
+        yield between * bool(lo) + between.join(chunks[lo : lo + FEED])
+
+
+def encoded(path: str, text: str | None) -> tuple[str, Iterator[str]]:
+    """Ids of a whole text, joined by a space, and pieces of the file's own decoding of them."""
+    bpe, shown, _ = loaded(path)
+    words = list(_words(bpe, text, shown, lambda i: (str(i), bpe.name_bytes[i])))
+    return " ".join([w[0] for w in words]), decoded(_fed([w[1] for w in words], b" "))
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -293,22 +303,29 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     def run(c: dict) -> dict:
         n, a, b = [], [], []
         for t in c["t"]:
-            ids, text = encoded(path, t)
+            ids, pieces = encoded(path, t)
+            digest = sha256()
+            for piece in pieces:
+                digest.update(piece.encode())
             n.append(ids.count(" ") + 1 if ids else 0)
             a.append(sha256(ids.encode()).hexdigest())
-            b.append(sha256(text.encode()).hexdigest())
+            b.append(digest.hexdigest())
         return {"doc_id": c["d"], "n_tokens": n, "ids_sha256": a, "decoded_sha256": b}
 
     return arrow_map(docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t")), run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the token ids, their number, and the text decoded from them."""
+    """doc_id, the token ids, their number, and the text decoded from them, of every row."""
     schema = StructType([StructField("doc_id", docs.schema[id_col].dataType), StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("decoded", StringType())])
 
     def run(c: dict) -> dict:
-        bpe = loaded(path)[0]
-        ids = [[int(x) for x in encoded(path, t)[0].split()] for t in c["t"]]
-        return {"doc_id": c["d"], "ids": ids, "n_tokens": list(map(len, ids)), "decoded": ["".join(bpe.decode(x)) for x in ids]}
+        bpe, _, plain = loaded(path)
+        ids, texts = [], []
+        for t in c["t"]:
+            words = list(_words(bpe, t, plain, lambda i: ([i], bpe.token_bytes[i])))
+            ids.append(np.fromiter(chain.from_iterable(w[0] for w in words), np.int32))
+            texts.append("".join(decoded(_fed([w[1] for w in words], b""))))
+        return {"doc_id": c["d"], "ids": ids, "n_tokens": list(map(len, ids)), "decoded": texts}
 
     return arrow_map(docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t")), run, schema)
