@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,22 +15,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a session in one process (master
+    local...) gets a temporary one; a cluster is an error, as no other folder is known to be shared."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_folder()
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (spark.checkpoint.dir, or a
-    temporary one where the session names none, as in tests)."""
+    """Materialise ``df`` in the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner", share: int = 500) -> DataFrame:
-    """``rows`` (materialised) joined with ``groups``, one row a key that has ``size`` rows. Keys
-    of at least 1/``share`` of all rows, ``share`` of them at most, are broadcast, so that their
-    rows stay where they are; the others are shuffled."""
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store Spark reaches it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, how: str = "inner", share: int = 500, total: int | None = None) -> DataFrame:
+    """``rows`` (materialised; ``total`` of them, where that is known) joined with ``groups``, one
+    row a key that has ``size`` rows. Keys of at least 1/``share`` of all rows, ``share`` of them
+    at most, are broadcast, so that their rows stay where they are; the others are shuffled."""
     from pyspark.sql import functions as F
 
-    hot = cut(groups.filter(F.col(size) >= max(1, rows.count() // share)))
+    hot = cut(groups.filter(F.col(size) >= max(1, (rows.count() if total is None else total) // share)))
     small = F.broadcast(hot.drop(size))
     return rows.join(small, key, how).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.drop(size), key, how))
 
