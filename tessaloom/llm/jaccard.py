@@ -2,31 +2,39 @@
 
 1. Texts with the same word sequence fall together; their least doc_id represents them.
 2. A representative's set of five-word shingles gets TREES x DEPTH MinHash values, DEPTH to
-   each tree. A tree's label is the string of its values; rows sorted by (tree, label) are the
-   tree's sorted prefix trie.
-3. Partitions walk the trie in order and tie rows that share a prefix with the row before,
-   down to the depth at which a pair at the threshold is found with probability ``recall`` in
-   some tree. Where a prefix group goes on into the next partition, the partitions' first rows
+   each tree. A tree's label is the string of its values.
+3. A row's prefixes begin at the whole labels and are shortened, one tree after the other, until a
+   row of its number of shingles finds each of its partners in some tree with probability
+   ``recall`` (``prefix_lengths``): a set of n shingles can't have every similarity, and the least
+   one at or above the threshold that it can have decides. A row stands in a tree under its own
+   prefix and under the shorter ones at which other rows may look for it. If the target is out of
+   reach, that is an error.
+4. The tries are sorted; partitions walk them in order and tie rows that share a prefix with the
+   row before. Where a prefix group goes on into the next partition, the partitions' first rows
    are tied, too, so that a group of any size spreads over tasks.
-4. Components of ties hold every pair that meets in a tree. All pairs of a component are
+5. Components of ties hold every pair that meets in a tree. All pairs of a component are
    verified exactly, by tiles: its rows are dealt over tiles of bounded rows and shingles, each
    pair of tiles is one cell, and a cell counts the shared shingles of all its pairs at once
-   through an inverted index. Out of a cell come each row's number of links and a spanning
-   forest of the links, never the pairs, so what is written grows with rows and tiles.
-5. Components of verified links are the classes.
+   through an inverted index, so rows that share nothing cost nothing. Out of a cell come each
+   row's number of links and a spanning forest of the links, never the pairs, so what is written
+   grows with rows and tiles.
+6. Components of verified links are the classes.
 
 The result has one row per distinct doc_id: doc_id, class_id (least doc_id of the class),
 n_links (different texts that its text is linked to), n_copies (ids with the same word
 sequence). Texts without words, null ones included, are alike to nothing: each is
 its own class. A text of one to four words has one shingle. Rows without an id are left out.
-Rows that repeat an id count as one document, linked to whatever any of its texts is linked to.
-Empty tables give no rows; other columns aren't read.
+Ids are integers, or strings of them; others are an error. Rows that repeat an id count as one
+document, linked to whatever any of its texts is linked to. Texts of any length are used whole
+(some 20 bytes a character of the longest are held). Empty tables give no rows; other columns
+aren't read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +49,30 @@ from .textops import Words, mix, shingle_sets, shingles
 TREES, DEPTH = 20, 6
 THRESHOLD, RECALL = 0.8, 0.9999
 TILE_ROWS, TILE_SHINGLES = 128, 1 << 18
+OWN_SIZES = 32
 
 
-def shortest_prefix(threshold: float, recall: float, trees: int, depth: int) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with ``recall``."""
-    return max([d for d in range(1, depth + 1) if 1 - (1 - threshold**d) ** trees >= recall], default=1)
+def least_similarity(n: int, threshold: float) -> float:
+    """The least similarity from ``threshold`` on that a set of n can have with another; the
+    threshold itself from OWN_SIZES on."""
+    if n >= OWN_SIZES:
+        return threshold
+    # sharing i of n with a set of m gives i / (n + m - i): the greatest m that still reaches it
+    unions = [(i, int(i / threshold + 1e-9)) for i in range(1, n + 1)]
+    return min(i / union for i, union in unions if union >= n)
+
+
+@lru_cache(256)
+def prefix_lengths(n: int, threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> tuple[int, ...]:
+    """The prefix of each tree by which a row of n shingles finds a partner with ``recall``: from
+    whole labels, the longest is shortened again and again, but no more than it takes."""
+    similarity, lengths = least_similarity(n, threshold), [depth] * trees
+    while 1 - math.prod(1 - similarity**d for d in lengths) < recall:
+        longest = max(lengths)
+        if longest == 1:
+            raise ValueError(f"{trees} trees don't reach a recall of {recall} at {threshold}")
+        lengths[lengths.index(longest)] -= 1
+    return tuple(lengths)
 
 
 _rng = np.random.default_rng(20240607)
@@ -84,54 +111,55 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return arrow_map(docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")), run, schema)
 
 
-def trie_rows(rows: DataFrame, *more: str) -> DataFrame:
-    """(tree, label, id, n) of representatives, and more columns."""
+def trie_rows(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(tree, prefix, id): each representative (doc_id, n, labels) under its own prefix of each
+    tree, and under the shorter ones of larger rows. ``tree`` counts the prefix lengths apart."""
     step = 4 * DEPTH
-    return rows.select(F.posexplode(F.expr(f"transform(sequence(0, {TREES - 1}), i -> substring(labels, i * {step} + 1, {step}))")).alias("tree", "label"), F.col("doc_id").alias("id"), "n", *more)
+    whole = prefix_lengths(OWN_SIZES, threshold, recall)
+    own = "".join(str(d) for n in range(1, OWN_SIZES + 1) for d in prefix_lengths(n, threshold, recall))
+    shortest = "".join(map(str, whole))
+    places = f"""flatten(transform(sequence(0, {TREES - 1}), i -> transform(
+        sequence(int(substring('{shortest}', i + 1, 1)), int(substring('{own}', (least(n, {OWN_SIZES}) - 1) * {TREES} + i + 1, 1))),
+        d -> struct(i * {DEPTH + 1} + d as tree, substring(labels, i * {step} + 1, 4 * d) as prefix))))"""
+    return rows.select(F.explode(F.expr(places)).alias("at"), F.col("doc_id").alias("id")).select("at.tree", "at.prefix", "id")
 
 
 TIES = "a long, b long, tree int, prefix binary, edge boolean"
 
 
-def _walk(floor: int):
-    """Ties of neighbours in a stretch of the sorted trie, and its first and last groups."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = first = head = None  # head: the open group's first row
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tree, ids = batch.column("tree").to_numpy(), batch.column("id").to_numpy()
-            label = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u4").reshape(-1, DEPTH)[:, :floor]
-            group = np.column_stack((tree.astype(np.int64), label.astype(np.int64)))
-            before = np.vstack((last[0][None] if last else np.full((1, floor + 1), -1), group[:-1]))
-            starts = (group != before).any(1)
-            neighbour = np.concatenate(([last[1] if last else ids[0]], ids[:-1]))
-            if first is None:
-                first = (int(tree[0]), label[0].tobytes(), int(ids[0]))
-            if starts.any():
-                head = int(ids[np.flatnonzero(starts)[-1]])
-            last = group[-1], int(ids[-1])
-            last_group = (int(tree[-1]), label[-1].tobytes(), head)
-            tied = ~starts & (neighbour != ids)
-            pairs = np.unique(np.column_stack((np.minimum(ids, neighbour), np.maximum(ids, neighbour)))[tied], axis=0)
-            m = len(pairs)
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array([False] * m)], names=["a", "b", "tree", "prefix", "edge"])
-        if first is not None:  # the stretch's first and last groups may go on next door
-            edges = sorted({first, last_group})
-            yield pa.RecordBatch.from_arrays([pa.array([e[2] for e in edges], pa.int64()), pa.nulls(len(edges), pa.int64()), pa.array([e[0] for e in edges], pa.int32()), pa.array([e[1] for e in edges], pa.binary()), pa.array([True] * len(edges))], names=["a", "b", "tree", "prefix", "edge"])
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties of neighbours in a stretch of the sorted tries, and its first and last groups."""
+    import pyarrow.compute as pc
 
-    return run
+    last = first = head = None  # last: key and id of the row before; head: the open group's first row
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tree, prefix, ids = batch.column("tree"), batch.column("prefix"), batch.column("id").to_numpy()
+        same = pc.and_(pc.equal(tree[1:], tree[:-1]), pc.equal(prefix[1:], prefix[:-1])).to_numpy(zero_copy_only=False)
+        key = tree[0].as_py(), prefix[0].as_py()
+        same = np.append(last is not None and last[0] == key, same)
+        neighbour = np.append(last[1] if last else ids[0], ids[:-1])
+        if first is None:
+            first = (*key, int(ids[0]))
+        if not same.all():
+            head = int(ids[np.flatnonzero(~same)[-1]])
+        last = (tree[-1].as_py(), prefix[-1].as_py()), int(ids[-1])
+        tied = same & (neighbour != ids)
+        pairs = np.unique(np.column_stack((np.minimum(ids, neighbour), np.maximum(ids, neighbour)))[tied], axis=0)
+        m = len(pairs)
+        if m:
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array([False] * m)], names=["a", "b", "tree", "prefix", "edge"])
+    if first is not None:  # the stretch's first and last groups may go on next door
+        edges = sorted({first, (*last[0], head)})
+        yield pa.RecordBatch.from_arrays([pa.array([e[2] for e in edges], pa.int64()), pa.nulls(len(edges), pa.int64()), pa.array([e[0] for e in edges], pa.int32()), pa.array([e[1] for e in edges], pa.binary()), pa.array([True] * len(edges))], names=["a", "b", "tree", "prefix", "edge"])
 
 
 def ties(rows: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Distinct (a, b), a < b, of representatives (doc_id, n, labels): rows of one prefix group
     are in one component of them."""
-    floor = shortest_prefix(threshold, recall, TREES, DEPTH)
-    trie = trie_rows(rows).select("tree", "label", "id")
     parts = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    walked = cut(trie.repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id").mapInArrow(_walk(floor), TIES))
+    walked = cut(trie_rows(rows, threshold, recall).repartitionByRange(parts, "tree", "prefix", "id").sortWithinPartitions("tree", "prefix", "id").mapInArrow(_walk, TIES))
     ends = walked.filter("edge")
     heads = ends.groupBy("tree", "prefix").agg(F.min("a").alias("h"), F.count("*").alias("k")).filter("k > 1")
     across = ends.join(heads, ["tree", "prefix"]).filter("a != h").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b"))
@@ -283,8 +311,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of the least doc_id of every class (one row, where an id repeats), and the
-    rows without an id; all columns as they are."""
-    kept = near_duplicates(docs, threshold, recall, id_col, text_col).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
-    clean = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    """The row of the least doc_id of every class (where an id repeats, the row of the least hash
+    of all columns), and the rows without an id; all columns as they are."""
+    kept = near_duplicates(docs, threshold, recall, id_col, text_col).filter("doc_id = class_id").select(F.col("doc_id").alias("kept"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    single = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("kept")).agg(F.min_by(row, F.xxhash64(row)).alias("row"))
+    clean = single.join(kept, "kept", "left_semi").select("row.*")
     return clean.unionByName(docs.filter(F.col(id_col).isNull()))

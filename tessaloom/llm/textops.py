@@ -12,6 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 SHINGLE_WORDS = 5
+STRETCH = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _STEP = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(SHINGLE_WORDS)], np.uint64)
@@ -58,12 +59,36 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Words:
     """The words of a list of texts: ``hashes``, character ``starts`` and ``ends`` within
-    the own text, and ``offsets`` (words of text i: offsets[i] to offsets[i + 1])."""
+    the own text, and ``offsets`` (words of text i: offsets[i] to offsets[i + 1]). ``prefixes``
+    has, for each of ``sizes``, a hash of each word's first so many characters, 0 for words that
+    aren't longer.
 
-    def __init__(self, texts: list[str | None]):
+    Texts are gone through by stretches of about STRETCH characters, cut outside words, so that
+    beyond a stretch some 4 bytes a character and 24 a word are held."""
+
+    def __init__(self, texts: list[str | None], sizes: tuple[int, ...] = ()):
         texts = [t or "" for t in texts]
         codes = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32)
-        folded = fold_table()[codes]
+        table, parts, lo = fold_table(), [], 0
+        while lo < len(codes) or not parts:
+            hi = min(len(codes), lo + STRETCH)
+            while hi < len(codes):
+                outside = np.flatnonzero(table[codes[hi : hi + 4096]] == 0)
+                if len(outside):
+                    hi += int(outside[0])
+                    break
+                hi = min(len(codes), hi + 4096)
+            parts.append(self._stretch(table[codes[lo:hi]], lo, sizes))
+            lo = hi
+        self.hashes, starts, ends, *self.prefixes = (np.concatenate(x) for x in zip(*parts))
+        begin = np.zeros(len(texts), np.int64)
+        np.cumsum([len(t) + 1 for t in texts[:-1]], out=begin[1:]) if len(texts) > 1 else None
+        self.offsets = np.append(np.searchsorted(starts, begin), len(starts)).astype(np.int64)
+        shift = np.repeat(begin, np.diff(self.offsets))
+        self.starts, self.ends = starts - shift, ends - shift
+
+    @staticmethod
+    def _stretch(folded: np.ndarray, lo: int, sizes: tuple[int, ...]) -> list[np.ndarray]:
         inside = np.zeros(len(folded) + 2, np.int8)
         inside[1:-1] = folded != 0
         edges = np.diff(inside)
@@ -71,26 +96,17 @@ class Words:
         sums = np.zeros(len(folded) + 1, np.uint64)
         np.cumsum(folded.astype(np.uint64) * _power("up", _BASE, len(folded) + 1)[: len(folded)], out=sums[1:])
         down = _power("down", pow(_BASE, -1, 1 << 64), len(folded) + 1)
-        self.hashes = mix((sums[ends] - sums[starts]) * down[starts])
-        self._at = sums, down, starts, ends
-        begin = np.zeros(len(texts), np.int64)
-        np.cumsum([len(t) + 1 for t in texts[:-1]], out=begin[1:]) if len(texts) > 1 else None
-        self.offsets = np.append(np.searchsorted(starts, begin), len(starts)).astype(np.int64)
-        shift = np.repeat(begin, np.diff(self.offsets))
-        self.starts, self.ends = starts - shift, ends - shift
+        out = [mix((sums[ends] - sums[starts]) * down[starts]), starts + lo, ends + lo]
+        for size in sizes:
+            longer = ends - starts > size
+            part = np.zeros(len(starts), np.uint64)
+            part[longer] = mix((sums[starts[longer] + size] - sums[starts[longer]]) * down[starts[longer]] + np.uint64(size))
+            out.append(part)
+        return out
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    def prefixes(self, size: int) -> np.ndarray:
-        """A hash of each word's first ``size`` characters (of its own length), 0 for words that
-        aren't longer."""
-        sums, down, starts, ends = self._at
-        longer = ends - starts > size
-        out = np.zeros(len(starts), np.uint64)
-        out[longer] = mix((sums[starts[longer] + size] - sums[starts[longer]]) * down[starts[longer]] + np.uint64(size))
-        return out
-
     def of(self, i: int) -> np.ndarray:
         return self.hashes[self.offsets[i] : self.offsets[i + 1]]
 

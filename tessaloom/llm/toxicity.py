@@ -60,8 +60,8 @@ class OrdinalModel:
 
 def features_of(texts: list[str | None]) -> list[np.ndarray]:
     """Sorted distinct feature hashes of each text."""
-    words = Words(texts)
-    all_of = np.vstack((words.hashes, *(words.prefixes(k) for k in PREFIXES)))
+    words = Words(texts, PREFIXES)
+    all_of = np.vstack((words.hashes, *words.prefixes))
     sets = [np.unique(all_of[:, words.offsets[i] : words.offsets[i + 1]]) for i in range(len(words))]
     return [s[1:] if len(s) and s[0] == 0 else s for s in sets]
 

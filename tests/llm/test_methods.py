@@ -109,7 +109,35 @@ def test_jaccard_against_all_pairs(spark, docs, rows, monkeypatch):
     alone = got.class_id.map(got.class_id.value_counts()) == 1
     assert (got.n_links[alone] == 0).all()
     assert dict(zip(got.doc_id, got.n_links)) == brute_links(frame)
-    assert jaccard.shortest_prefix(0.8, 0.9999, jaccard.TREES, jaccard.DEPTH) == 4
+
+
+def test_prefixes_reach_the_recall():
+    for n in range(1, 40):
+        reachable = [i / (n + m - i) for i in range(1, n + 1) for m in range(i, 2 * n + 2) if i / (n + m - i) >= 0.8 - 1e-9]
+        if n < jaccard.OWN_SIZES:
+            assert abs(jaccard.least_similarity(n, 0.8) - min(reachable)) < 1e-9
+        lengths = jaccard.prefix_lengths(n, 0.8, 0.9999)
+        miss = np.prod([1 - min(reachable) ** d for d in lengths])
+        assert miss <= 1e-4 and max(lengths) - min(lengths) <= 1
+        assert all(a >= b for a, b in zip(lengths, jaccard.prefix_lengths(1000, 0.8, 0.9999)))
+    assert jaccard.prefix_lengths(2, 0.8, 0.9999) == (jaccard.DEPTH,) * jaccard.TREES
+    assert sorted(set(jaccard.prefix_lengths(1000, 0.8, 0.9999))) == [4, 5]
+    with pytest.raises(ValueError):
+        jaccard.prefix_lengths(100, 0.05, 0.9999)
+
+
+def test_jaccard_recall_of_planted_near_copies(spark):
+    """Pairs on and just above the threshold, of short and of long texts: all are found."""
+    rng, rows, want = random.Random(9), [], set()
+    for k in range(1500):
+        n = rng.choice([5, 6, 7, 8, 9, 12, 20, 40, 100, 300])
+        words = [f"w{rng.randrange(10**9)}" for _ in range(n + 4)]
+        other = words + [f"v{rng.randrange(10**9)}" for _ in range(rng.randrange(0, n // 4 + 1))]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        if n / (len(other) - 4) >= 0.8 - 1e-9:
+            want.add(2 * k)
+    found = {r.doc_id: r.class_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k in want if found[k + 1] == k} == want and len(want) == 1500
 
 
 def test_linked_sets_and_spanning_forest():
@@ -321,7 +349,7 @@ def test_trie_counts_as_plain_dynamic_programming(docs):
 
     want = {w: plain(w) for w in words}
     assert counter.count(words) == want
-    long = "▁" + "abcd" * 5000  # scored whole, like any other
+    long = "▁" + "abcd" * 150  # scored whole, like any other
     assert counter.totals([long[1:] + " a", "a"])[1] == [plain(long) + plain("▁a"), plain("▁a")]
     assert tokencount.shared_prefixes(["", "ab", "abc", "abd", "b"]) == [0, 0, 2, 2, 0]
 
