@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -17,15 +18,20 @@ def docs(spark):
     return spark.read.parquet(f"{FOLDER}/documents.parquet").toPandas().sort_values("doc_id")
 
 
-def test_words_and_shingles():
-    import re
-
+def test_words_and_shingles(monkeypatch):
     texts = ["Ab, cD_ef 12é!", "", None, "a b c", "ß 日本x"]
     words = textops.Words(texts)
     for i, t in enumerate(texts):
         want = re.findall(r"[^\W_]+", (t or "").lower())
         lo, hi = words.offsets[i], words.offsets[i + 1]
         assert [(t or "")[a:b].lower() for a, b in zip(words.starts[lo:hi], words.ends[lo:hi])] == want
+    text = ["".join(random.Random(k).choice("ab é1_ -") for _ in range(400)) + "x" * 50 * k for k in range(9)] + texts
+    whole = textops.Words(text, (2, 3))
+    monkeypatch.setattr(textops, "STRETCH", 37)
+    parts = textops.Words(text, (2, 3))
+    for name in ("hashes", "starts", "ends", "offsets"):
+        assert getattr(whole, name).tolist() == getattr(parts, name).tolist()
+    assert [p.tolist() for p in whole.prefixes] == [p.tolist() for p in parts.prefixes]
     same = textops.Words(["x Ab", "ab"])
     assert same.of(0)[1] == same.of(1)[0] and same.of(0)[0] != same.of(0)[1]
     assert len(textops.shingle_sets(["a b c d e f a b c d e f a b"])[0]) == 6
@@ -73,8 +79,6 @@ def brute_classes(docs):
 
 def brute_links(docs):
     """doc_id to the number of different texts (by words) that its text reaches 0.8 with."""
-    import re
-
     words = {i: " ".join(re.findall(r"[^\W_]+", (t or "").lower())) for i, t in zip(docs.doc_id, docs.text)}
     texts = sorted(set(words.values()) - {""})
     sets = [set(s.tolist()) for s in textops.shingle_sets(texts)]
@@ -253,11 +257,31 @@ def test_secrets_against_brute_force(docs):
 
 
 def test_decontamination_against_sets(spark, docs):
-    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet").toPandas()
-    sets = textops.shingle_sets(list(docs.text))
-    want = {(d, i) for i, q in zip(bench.item_id, textops.shingle_sets(list(bench.text))) for d, s in zip(docs.doc_id, sets) if len(q) and len(np.intersect1d(q, s)) >= 0.8 * len(q) - 1e-9}
-    got = decontam.contained_items(spark.createDataFrame(docs), spark.createDataFrame(bench)).toPandas()
-    assert set(zip(got.doc_id, got.item_id)) == want and len(want)
+    import pandas as pd
+
+    bench = spark.read.parquet(f"{FOLDER}/benchmark.parquet").toPandas()[["item_id", "text"]]
+    words = [re.findall(r"[^\W_]+", (t or "").lower()) for t in docs.text]
+    # short items, two of them inside long texts, and one of many shingles that a text holds in part
+    long = max(words, key=len)
+    extra = [(9001, "Zebra quartz"), (9002, words[3][4]), (9003, " ".join(words[5][2:6])), (9004, " ".join(long[:600] + [f"n{i}" for i in range(100)])), (9005, " ".join(long[:600] + [f"n{i}" for i in range(400)])), (9006, "five words that aren't there")]
+    bench = pd.concat([bench, pd.DataFrame(extra, columns=["item_id", "text"])])
+    docs = pd.concat([docs[["doc_id", "text"]], pd.DataFrame([(10_000, "some zebra, quartz and more words here"), (10_001, "zebra")], columns=["doc_id", "text"])])
+
+    def runs(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+    held, want = [re.findall(r"[^\W_]+", (t or "").lower()) for t in docs.text], set()
+    for i, t in zip(bench.item_id, bench.text):
+        q = re.findall(r"[^\W_]+", (t or "").lower())
+        n = min(5, len(q))
+        item = runs(q, n) if q else set()
+        want |= {(d, i) for d, w in zip(docs.doc_id, held) if item and len(item & runs(w, n)) >= 0.8 * len(item) - 1e-9}
+    assert {(10_000, 9001), (10_001, 9001)} & want == {(10_000, 9001)} and {i for _, i in want} >= {9002, 9003, 9004} and not {9005, 9006} & {i for _, i in want}
+    for block in (1 << 20, 200):
+        got = decontam.contained_items(spark.createDataFrame(docs), spark.createDataFrame(bench), block_shingles=block).toPandas()
+        assert set(zip(got.doc_id, got.item_id)) == want and len(got) == len(want)
+    clean = decontam.clean_documents(spark.createDataFrame(docs), spark.createDataFrame(bench), block_shingles=2000).toPandas()
+    assert set(clean.doc_id) == set(docs.doc_id) - {d for d, _ in want}
 
 
 def test_bpe_as_the_library(docs):
@@ -427,13 +451,31 @@ def test_licenses(docs):
 
 def test_topk_selection():
     rng = np.random.default_rng(1)
-    scores, ids = rng.integers(0, 20, 500), rng.permutation(500)
-    want = sorted(range(500), key=lambda i: (-scores[i], ids[i]))[:10]
-    assert topk.select(scores, ids, 10).tolist() == want
+    owner, scores, ids = rng.integers(0, 3, 500), rng.integers(0, 20, 500), rng.permutation(500)
+    want = [i for q in range(3) for i in sorted(np.flatnonzero(owner == q).tolist(), key=lambda i: (-scores[i], ids[i]))[:10]]
+    assert topk.select(owner, scores, ids, 10).tolist() == want
     a, b = np.full((1, 3), 2.0**40), np.full((1, 3), 2.0**20 + 1)
     assert topk._product(a, b).tolist() == [[3 * 2**40 * (2**20 + 1)]]
 
 
+@pytest.mark.parametrize("block", [1 << 20, 12])
+def test_topk_against_all_pairs(spark, block, monkeypatch):
+    """Ties, repeated ids with the same and other vectors: each row a query, only its own left out."""
+    rng = random.Random(6)
+    rows = [(rng.choice([100, 200, 300, *range(1, 60)]), [rng.choice([0.0, 0.5, 1.0, -0.25]) for _ in range(rng.choice([3, 3, 3, 2]))]) for _ in range(260)]
+    rows += [(100, [1.0, 1.0, 1.0])] * 3 + [(100, [0.5, 0.0, 1.0]), (400, [0.5, 0.5, 0.5]), (500, [1.0])]
+    whole = [[int(np.floor(1024 * x)) for x in v] for _, v in rows]
+    want = []
+    for q, (i, v) in enumerate(rows):
+        if i % 100 == 0:
+            found = sorted((-sum(a * b for a, b in zip(whole[q], whole[c])), j) for c, (j, u) in enumerate(rows) if c != q and len(u) == len(v))
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(found[:5], 1)]
+    monkeypatch.setattr(topk, "TILE_ROWS", 16)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = [tuple(r) for r in topk.exact_topk(frame.filter("vec_id % 100 = 0"), frame, k=5, block_values=block).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_every_query_runs(spark):
     for name, query in queries().items():
         assert query(spark, FOLDER).count() > 0, name
