@@ -12,13 +12,16 @@ nothing is rejected.
 
 Features: the presence of distinct words and of word beginnings of PREFIXES characters, as
 exact 64-bit hashes of a vocabulary that the training sample gives: those of MIN_DOCS rows at
-least whose share of toxic rows is far from chance. A text of any length is used whole. The fit uses a bounded sample, MAX_ROWS labelled rows by
-hash order (a documented parameter); scoring covers every row.
+least whose share of toxic rows is EXCESS standard deviations from chance, the MAX_FEATURES
+furthest. They are counted on the executors. The fit uses a bounded sample, MAX_ROWS labelled
+rows by hash order of the id (a documented parameter); scoring covers every row and whole texts
+of any length.
 
 Null and empty texts have no features and get the base rate's severity; with no usable labels
-every row gets severity 0 and nothing is rejected. Rows are independent: repeated ids and rows
-each give their row. Labels with a null id or label, or without a document, take no part; of
-ids that repeat in labels, the greatest label counts. Other columns aren't read.
+every row gets severity 0 and nothing is rejected. An empty table gives no rows. Rows are
+independent: repeated ids and rows each give their row, and rows of equal texts the same scores.
+Labels with a null id or label, or without a document, take no part; of ids that repeat in
+labels, the greatest label counts, in documents the least text. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from .runtime import arrow_map
+from .runtime import arrow_map, cut
 from .textops import Words
 
 MAX_ROWS = 6000
@@ -94,46 +97,58 @@ def fit_cumulative_link(rows: list[np.ndarray], grades: np.ndarray, size: int, d
     return theta[:size], np.array([theta[-2], theta[-2] + np.exp(theta[-1])])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """Fits on at most ``max_rows`` labelled rows: their distinct word hashes come to the
-    driver, a bounded sample."""
+def labelled(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """toxic, words (feature hashes) of a sample of ``max_rows`` labelled ids at most, the first
+    by hash of the id; of documents that repeat an id, the least text counts."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col("toxic") != 0).cast("int")).alias("_toxic"))
     sampled = known.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    chosen = texts.join(F.broadcast(sampled), "_id").select("_toxic", "_text")
-    schema = StructType([StructField("toxic", IntegerType()), StructField("words", BinaryType()), StructField("n", LongType())])
+    chosen = texts.join(F.broadcast(sampled), "_id").groupBy("_id").agg(F.max("_toxic").alias("_toxic"), F.min("_text").alias("_text"))
+    schema = StructType([StructField("toxic", IntegerType()), StructField("words", BinaryType())])
+    return cut(arrow_map(chosen.select("_toxic", "_text"), lambda c: {"toxic": c["_toxic"], "words": [f.tobytes() for f in features_of(c["_text"])]}, schema))
+
+
+def chosen_features(rows: DataFrame, base: float) -> list[tuple[int, float]]:
+    """(hash, excess) of the MAX_FEATURES features at most that lie furthest from chance, counted
+    where the rows are. Excess: the standard deviations by which a feature's toxic rows exceed
+    those expected."""
+    schema = StructType([StructField(n, LongType()) for n in ("feature", "n", "k")])
+
+    def count(c: dict) -> dict:
+        sets = [np.frombuffer(w, np.uint64) for w in c["words"]]
+        found, inverse = np.unique(np.concatenate(sets), return_inverse=True)
+        toxic = np.repeat(np.array(c["toxic"]), [len(s) for s in sets])
+        return {"feature": found.view(np.int64), "n": np.bincount(inverse, minlength=len(found)), "k": np.bincount(inverse, toxic, len(found)).astype(np.int64)}
 
-    def words(c: dict) -> dict:
-        sets = features_of(c["_text"])
-        return {"toxic": c["_toxic"], "words": [s.tobytes() for s in sets], "n": list(map(len, sets))}
+    counts = arrow_map(rows, count, schema).groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).filter(F.col("n") >= MIN_DOCS)
+    excess = (F.col("k") - F.col("n") * base) / F.sqrt(F.col("n") * (base * (1 - base)) + 1)
+    far = counts.select("feature", excess.alias("excess")).filter(F.abs("excess") >= EXCESS)
+    return [(r.feature, r.excess) for r in far.orderBy(F.abs("excess").desc(), "feature").limit(MAX_FEATURES).collect()]
 
-    rows = arrow_map(chosen, words, schema).limit(4 * max_rows).collect()
-    toxic = np.array([r.toxic for r in rows], np.int64)
-    if not len(rows) or toxic.min() == toxic.max():
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
+    """Fits on at most ``max_rows`` labelled rows. To the driver come the chosen features and,
+    of each row, the numbers of those it has: max_rows x MAX_FEATURES at the very most."""
+    rows = labelled(docs, labels, max_rows, id_col, text_col)
+    of_class = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    if len(of_class) < 2:
         return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    order = sorted(range(len(rows)), key=lambda i: (rows[i].words, rows[i].toxic))  # as rows come in any order
-    rows, toxic = [rows[i] for i in order], toxic[order]
-    sets = [np.frombuffer(r.words, np.uint64) for r in rows]
-    everything, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    in_docs = np.bincount(inverse, minlength=len(everything))
-    in_toxic = np.bincount(inverse, toxic[owner], len(everything))
-    base = toxic.mean()
-    # how many standard deviations a word's toxic rows exceed those expected
-    excess = (in_toxic - in_docs * base) / np.sqrt(in_docs * base * (1 - base) + 1)
-    keep = np.flatnonzero((in_docs >= MIN_DOCS) & (np.abs(excess) >= EXCESS))
-    keep = np.sort(keep[np.argsort(-np.abs(excess[keep]), kind="stable")[:MAX_FEATURES]])
-    number = np.full(len(everything), -1)
-    number[keep] = np.arange(len(keep))
-    ends = np.cumsum([len(s) for s in sets])
-    features = [f[f >= 0] for f in np.split(number[inverse], ends[:-1])]
-    lexicon = excess[keep] >= LEXICON
+    chosen = chosen_features(rows, of_class[1] / sum(of_class.values()))
+    words = np.array([f for f, _ in chosen], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    words, lexicon = words[order], np.array([e for _, e in chosen])[order] >= LEXICON if len(order) else np.zeros(0, bool)
+
+    def numbers(c: dict) -> dict:
+        return {"toxic": c["toxic"], "words": [np.flatnonzero(np.isin(words, np.frombuffer(w, np.uint64), assume_unique=True)).astype(np.int32).tobytes() for w in c["words"]]}
+
+    found = sorted((r.words, r.toxic) for r in arrow_map(rows, numbers, rows.schema).collect())  # as rows come in any order
+    toxic = np.array([t for _, t in found], np.int64)
+    features = [np.frombuffer(f, np.int32).astype(np.int64) for f, _ in found]
     load = np.array([lexicon[f].sum() for f in features])
-    middle = np.median(load[toxic == 1])
-    grades = np.where(toxic == 0, 0, np.where(load > middle, 2, 1))
-    weights, cuts = fit_cumulative_link(features, grades, len(keep))
+    grades = np.where(toxic == 0, 0, np.where(load > np.median(load[toxic == 1]), 2, 1))
+    weights, cuts = fit_cumulative_link(features, grades, len(words))
     z = np.array([weights[f].sum() for f in features])
-    return OrdinalModel(everything[keep], weights, cuts, reject_at(best_part(z, toxic), cuts))
+    return OrdinalModel(words, weights, cuts, reject_at(best_part(z, toxic), cuts))
 
 
 def reject_at(z: float, cuts: np.ndarray) -> float:
