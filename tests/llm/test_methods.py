@@ -530,6 +530,60 @@ def test_licenses(docs):
     assert licenses.scan("my driving license was lost, all rights reserved") == []
     known = ("MIT License.", "CC BY-NC 4.0.", "Apache License, Version 2.0.", "GNU General Public License, version 3.")
     assert [bool(licenses.scan(t)) for t in docs.text] == [any(k in t for k in known) for t in docs.text]
+    # exact differences of wording
+    text = "code licensed under the new Apache License version 2.0, thanks"
+    assert licenses.scan(text) == [(5, 54, "Apache-2.0", [], ["new"])]
+    assert licenses.scan("Freely under the MIT License") == [(7, 28, "MIT", ["released"], [])]
+
+
+@pytest.mark.parametrize("name", sorted(licenses.NOTICES))
+def test_every_notice_and_whole_license_is_told_apart(name):
+    from pathlib import Path
+
+    for notice in licenses.NOTICES[name]:
+        for around in ("", "eins zwei drei vier fünf " * 40, "the software and the work of the public " * 30):
+            assert [x[2:] for x in licenses.scan(f"{around}. {notice.partition('|')[0]} {around}")] == [(name, [], [])], notice
+    whole = Path(licenses.__file__).parent / "templates" / f"{name}.txt"
+    if whole.exists() and name not in ("LGPL-2.1", "LGPL-3.0", "BSD-2-Clause", "CC0-1.0"):
+        found = licenses.scan(whole.read_text())
+        # the text of MPL-2.0 names others itself
+        assert name in {x[2] for x in found} and (name == "MPL-2.0" or {x[2] for x in found} <= {name, "LGPL-2.1"}), found
+
+
+def brute_licenses(text):
+    """Every notice at every place of the text, without blocks or compression."""
+    words, by_anchor = licenses._words(text or ""), licenses.templates()[0]
+    hits = []
+    for at in range(len(words)):
+        for n in by_anchor.get(words[at], []):
+            if hit := n.confirm(words, at):
+                hits.append((hit[0], hit[1], n.name))
+    return {(a, b, n) for a, b, n in hits}
+
+
+def test_licenses_against_every_place(docs):
+    rng = random.Random(8)
+    notices = [n.partition("|")[0] for x in licenses.NOTICES.values() for n in x]
+    filler = ["lorem ipsum dolor", "mit der Lizenz", "license", "apache", "\n", "\n# ", "the GNU people", "cc", "permission to use"]
+    texts = []
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            words = rng.choice(notices).split()
+            for _ in range(rng.randrange(0, 4)):
+                words.pop(rng.randrange(len(words))) if rng.random() < 0.5 and len(words) > 3 else words.insert(rng.randrange(len(words)), rng.choice(["very", "\n * "]))
+            parts += [" ".join(words), *rng.choices(filler, k=rng.randrange(0, 60))]
+        texts.append(" ".join(parts))
+    n = 0
+    for text in [*texts, *docs.text]:
+        every, found = brute_licenses(text), licenses.scan(text)
+        places = [m.span() for m in re.finditer(r"[^\W_]+", text or "")]
+        spans = {(places[a][0], places[b - 1][1], name) for a, b, name in every}
+        assert {x[:3] for x in found} <= spans
+        # whatever isn't reported overlaps something that is
+        assert all(any(a < y and x < b for x, y, *_ in found) for a, b, _ in spans), text
+        n += len(found)
+    assert n > 800
 
 
 def test_topk_selection():
@@ -620,6 +674,9 @@ def test_wrapped_license_headers(prefix, width):
     import textwrap
 
     notices = {
+        "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "ISC": 'Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.',
+        "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
         "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
@@ -628,4 +685,4 @@ def test_wrapped_license_headers(prefix, width):
         text = "\n".join(["intro", ""] + [prefix + x for x in textwrap.wrap(notice, width)] + ["", "more text here"])
         found = licenses.scan(text)
         assert [x[2] for x in found] == [want], (want, found)
-        assert all("intro" not in text[a:b] and "more" not in text[a:b] for a, b, _ in found)
+        assert all("intro" not in text[a:b] and "more" not in text[a:b] for a, b, *_ in found)
