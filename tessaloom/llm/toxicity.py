@@ -7,8 +7,9 @@ training row is 2 where its number of lexicon features (far more frequent in tox
 than in others) lies above the median of toxic rows, else 1, so the severity cut is
 learned from the rows themselves. A document is rejected when P(grade > 0) reaches the model's
 ``reject``: of the values that part the training rows best (a clean row's loss counts
-CLEAN_WEIGHT times a toxic one's, by the classes' rates), the middle. Where nothing parts them,
-nothing is rejected.
+CLEAN_WEIGHT times a toxic one's, by the classes' rates), the middle, but never so low that a text
+without any evidence (features of a positive sum) goes. Where nothing parts them, nothing is
+rejected.
 
 Features: the presence of distinct words and of word beginnings of PREFIXES characters, as
 exact 64-bit hashes of a vocabulary that the training sample gives: those of MIN_DOCS rows at
@@ -41,6 +42,7 @@ MIN_DOCS = 5
 MAX_FEATURES = 20_000
 PREFIXES = (3, 4, 5, 6)
 CLEAN_WEIGHT = 10
+LEAST_EVIDENCE = 1e-6
 EXCESS, LEXICON = 4.0, 6.0  # standard deviations
 
 
@@ -148,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     grades = np.where(toxic == 0, 0, np.where(load > np.median(load[toxic == 1]), 2, 1))
     weights, cuts = fit_cumulative_link(features, grades, len(words))
     z = np.array([weights[f].sum() for f in features])
-    return OrdinalModel(words, weights, cuts, reject_at(best_part(z, toxic), cuts))
+    return OrdinalModel(words, weights, cuts, reject_at(max(best_part(z, toxic), LEAST_EVIDENCE), cuts))
 
 
 def reject_at(z: float, cuts: np.ndarray) -> float:
