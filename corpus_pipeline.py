@@ -3,18 +3,22 @@
 toxicity: documents that the severity model rejects go. near_duplicates: one document of each
 class stays. decontamination: documents that hold a benchmark item go. secrets: secrets in the
 texts are replaced by their kinds. bpe: the texts' token ids, and the text decoded from them.
+
+Every stage takes empty tables, null and empty texts (they are kept, and give no tokens), texts of
+any length, and columns beyond those of documents, whatever their names; all but the last return
+their input's columns. Rows without an id stay, near_duplicates keeps one row of an id that
+repeats, and the other stages treat each row by itself.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessaloom.llm import bpe, decontam, jaccard, secrets, toxicity
 from tessaloom.llm.queries import tokenizer_path
-from tessaloom.llm.runtime import table
+from tessaloom.llm.runtime import remove, shared_folder, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,11 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; intermediate tables go under spark.checkpoint.dir."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    top = f"{top.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``. Intermediate tables go under spark.checkpoint.dir; each is
+    deleted when the next is written, the last stays."""
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{k}-{name}")
-        docs = spark.read.parquet(f"{top}/{k}-{name}")
+        path = f"{top}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
