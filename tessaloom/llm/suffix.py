@@ -38,10 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .runtime import arrow_map, cut, join_groups
+from .runtime import arrow_map, cut, join_groups, release
 from .textops import Words, mix, runs
 
-MIN_WORDS, WINDOW, KMER, CHUNK = 50, 26, 8, 1 << 16
+MIN_WORDS, WINDOW, KMER, CHUNK = 50, 26, 8, 1 << 14
 RUN = MIN_WORDS - WINDOW + 1
 SIDE = WINDOW - 1
 
@@ -117,6 +117,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if rows:
                 run, after, before, pos = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(run, pa.int64()), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array([part.column("d")[0].as_py()] * len(rows), pa.int64()), pa.array(pos, pa.int32())], names=["run", "after", "before", "doc", "pos"])
+    release()
 
 
 def _fresh(key: np.ndarray, doc: np.ndarray, pos: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -221,6 +222,8 @@ def _windows(chunk: int):
                 held, n, opens = [], 0, True
         if held:
             yield from _decide(tuple(np.concatenate(x) for x in zip(*held)), opens, True)
+        held = batch = key = doc = pos = after = before = rows = None
+        release()
 
     return run
 
