@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import json_paths, text
+from .functions import json_paths
 from .functions.html import page_parts
 from .operators import acquire, finance, graph, grounding, profiles, registry
 from .sources import bounded_sql
@@ -69,20 +69,20 @@ def _suffix_pairs(left: list[str], right: list[str]) -> list[tuple[str, str]]:
 
 
 def _discovery_sql() -> str:
-    cols = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"]}
+    cols = {"region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey"], "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"]}
     parts = [f"SELECT '{a}' AS left_table, '{b}' AS right_table, '{x}' AS left_column, '{y}' AS right_column, * FROM ({_join_sql(a, b, x, y)})" for a in sorted(cols) for b in sorted(cols) if a != b for x in cols[a] for y in cols[b] if x[2:] == y[2:]]
     return " UNION ALL ".join(parts)
 
 
 @query(_discovery_sql())
 def join_discovery(s, d):
-    return profiles.discover_joins({t: table(s, d, t) for t in ("region", "nation", "customer", "supplier")}, _suffix_pairs)
+    return profiles.discover_joins({t: table(s, d, t) for t in TABLES}, _suffix_pairs)
 
 
 _FIT_SQL = {
     "boolean": r"regexp_full_match(lower(trim(value)), 'true|false')",
-    "integer": r"regexp_full_match(trim(value), '[+-]?[0-9]+')",
-    "number": r"regexp_full_match(trim(value), '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')",
+    "integer": r"regexp_full_match(value, '[+-]?[0-9]+')",
+    "number": r"regexp_full_match(value, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?')",
     "date": r"(regexp_full_match(trim(value), '[0-9]{4}-[0-9]{2}-[0-9]{2}') AND try_cast(trim(value) AS DATE) IS NOT NULL)",
     "datetime": r"(regexp_full_match(trim(value), '[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2})?') AND try_cast(trim(value) AS TIMESTAMPTZ) IS NOT NULL)",
     "json_array": r"(ltrim(value)[1] = '[' AND json_valid(value))",
@@ -100,9 +100,11 @@ def _columns_sql(name: str, columns: dict[str, str]) -> str:
 SELECT *, CASE WHEN nonblank = 0 THEN 'unknown' {cases} ELSE 'string' END AS inferred FROM p"""
 
 
-@query(_columns_sql("events", {c: f"CAST({c} AS VARCHAR)" for c in ("event_id", "user_id", "event_type", "props")}))
+@query(_columns_sql("events", {c: f"CAST({c} AS VARCHAR)" for c in ("event_id", "user_id", "event_type", "props")} | {"ts": "strftime(ts, '%Y-%m-%d %H:%M:%S.%f')", "value": "CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR)"}))
 def profile_columns_events(s, d):
-    return profiles.profile_columns(table(s, d, "events").select("event_id", "user_id", "event_type", "props"))
+    """Times and amounts as texts of one form, as engines print them differently."""
+    e = table(s, d, "events")
+    return profiles.profile_columns(e.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).withColumn("value", F.col("value").cast("decimal(18,2)").cast("string")))
 
 
 @query(_columns_sql("documents", {c: f"CAST({c} AS VARCHAR)" for c in ("doc_id", "text", "lang", "source", "n_chars")}))
@@ -205,8 +207,8 @@ def scope_summary(s, d):
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 def bounded_sql_rows(s, d):
-    table(s, d, "orders").createOrReplaceTempView("orders")
-    return bounded_sql.bounded_sql(s, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey")[0]
+    table(s, d, "orders").createOrReplaceTempView("bounded_sql_orders")
+    return bounded_sql.bounded_sql(s, "SELECT o_orderkey, o_custkey, o_totalprice FROM bounded_sql_orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey")[0]
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) ELSE text END AS text, lang FROM documents")
@@ -214,11 +216,6 @@ def clip_cells(s, d):
     return bounded_sql.clip_cells(table(s, d, "documents").select("doc_id", "text", "lang"))
 
 
-@query("SELECT doc_id, substr(text, 101, 200) AS text FROM documents")
-def slice_ranges(s, d):
-    return table(s, d, "documents").select("doc_id", F.substring("text", 101, 200).alias("text"))
-
-
 @query("SELECT conv_id, turn, running FROM (SELECT conv_id, turn, CAST(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM (SELECT conv_id, turn, max(text) AS text FROM conversations GROUP BY 1, 2)) WHERE running <= 2048")
 def byte_budget(s, d):
     c = table(s, d, "conversations").groupBy("conv_id", "turn").agg(F.max("text").alias("text"))
@@ -231,11 +228,6 @@ def html_text(s, d):
     return table(s, d, "pages").select("page_id", p.alias("p")).select("page_id", "p.title", "p.text", F.size("p.tables").alias("tables"))
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS position, embedding[i] AS value FROM embeddings, range(1, 65) t(i) WHERE i <= len(embedding)")
-def normalize_explode(s, d):
-    return table(s, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("position", "value"))
-
-
 def _star_quads(s, d) -> DataFrame:
     base = "http://example.org/"
     g, q, iri = f"{base}g", graph.quad, lambda kind, c: graph.iri(f"{base}{kind}/", F.col(c))
@@ -305,12 +297,6 @@ def duplicate_texts(s, d):
     return grounding.duplicate_findings(table(s, d, "documents"), ["text"], "doc_id")
 
 
-@query()
-def grounding_tokens(s, d):
-    docs = table(s, d, "documents")
-    return grounding.unsupported_tokens(docs.select("doc_id", "text"), docs.select("doc_id", F.lower(F.substring("text", 1, 400)).alias("text")), "doc_id", "text", english=True)
-
-
 @query("SELECT l.doc_id, l.quality, d.lang, d.source FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l JOIN documents d USING (doc_id)")
 def source_lineage_repair(s, d):
     rows = table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).select("doc_id", "quality", F.lit("").alias("lang"), F.lit(None).cast("string").alias("source"))
@@ -365,11 +351,6 @@ def length_checks(s, d):
     return profiles.length_totals(table(s, d, "documents"), "doc_id", "text")
 
 
-@query()
-def redacted_texts(s, d):
-    return table(s, d, "documents").select("doc_id", text.redact(F.col("text")).alias("text"))
-
-
 @query()
 def schema_catalog(s, d):
     return bounded_sql.schema_catalog({t: table(s, d, t) for t in TABLES})
@@ -378,3 +359,6 @@ def schema_catalog(s, d):
 @query("SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS first, arg_max(o_totalprice, o_orderkey) AS last, count(*) AS n FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1")
 def first_last_series(s, d):
     return finance.first_last(table(s, d, "orders").filter("o_custkey is not null"), "o_custkey", "o_orderkey", "o_totalprice")
+
+
+from . import catalog_more, catalog_tables  # noqa: E402, F401  they register more

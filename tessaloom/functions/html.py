@@ -16,71 +16,68 @@ LIMITS = {"tables": 10, "rows": 50, "cells": 30, "cell_chars": 500}
 PAGE = StructType([StructField("title", StringType()), StructField("text", StringType()), StructField("tables", ArrayType(ArrayType(ArrayType(StringType()))))])
 
 
-class _Page(HTMLParser):
-    def __init__(self):
+class _Tokens(HTMLParser):
+    """A page as (kind, tag or text): open, close, text."""
+
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.title, self.lines, self.line, self.tables = [], [], [], []
-        self.hidden, self.in_title, self.row, self.cell = 0, False, None, None
-
-    def flush(self):
-        text = " ".join("".join(self.line).split())
-        if text:
-            self.lines.append(text)
-        self.line = []
-
-    def end_cell(self):
-        if self.cell is not None and self.row is not None:
-            self.row.append(" ".join("".join(self.cell).split()))
-        self.cell = None
-
-    def end_row(self):
-        self.end_cell()
-        if self.row and self.tables:
-            self.tables[-1].append(self.row)
-            self.lines.append(" | ".join(self.row))
-        self.row = None
+        self.found: list[tuple[str, str]] = []
+        self.feed(html)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.hidden += 1
-        elif tag == "title":
-            self.in_title = True
-        if tag in BLOCKS:
-            self.flush()
-        if tag == "table":
-            self.tables.append([])
-        elif tag == "tr" and self.tables:
-            self.end_row()
-            self.row = []
-        elif tag in ("td", "th") and self.row is not None:
-            self.end_cell()
-            self.cell = []
+        self.found.append(("open", tag))
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag == "title":
-            self.in_title = False
-        if tag in ("td", "th"):
-            self.end_cell()
-        elif tag in ("tr", "table"):
-            self.end_row()
-        if tag in BLOCKS:
-            self.flush()
+        self.found.append(("close", tag))
 
     def handle_data(self, data):
-        if self.hidden:
-            return
-        (self.title if self.in_title else self.cell if self.cell is not None else self.line).append(data)
+        self.found.append(("text", data))
+
+
+def _addressed(tokens: list[tuple[str, str]]) -> dict[tuple, list[str]]:
+    """Texts by their address, in order: ("title",), ("line", number), or ("cell", table, row,
+    number); cells without text, too."""
+    out: dict[tuple, list[str]] = {}
+    hidden = title = 0
+    tables = rows = cells = lines = row = cell = 0  # counters; row and cell are 0 outside
+    for kind, x in tokens:
+        if kind == "text":
+            if not hidden:
+                out.setdefault(("title",) if title else ("cell", tables, row, cell) if cell else ("line", lines), []).append(x)
+            continue
+        opens = kind == "open"
+        if x in HIDDEN:
+            hidden = max(0, hidden + (1 if opens else -1))
+        title = int(opens) if x == "title" else title
+        lines += x in BLOCKS
+        if x in ("table", "tr"):
+            tables += opens and x == "table"
+            rows += opens and x == "tr"
+            row, cell = (rows if opens and x == "tr" and tables else 0), 0
+        elif x in ("td", "th"):
+            cells += 1
+            cell = cells if opens and row else 0
+            if cell:
+                out.setdefault(("cell", tables, row, cell), [])
+    return out
 
 
 def parse_page(html: str | None) -> tuple[str, str, list]:
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    page.end_row()
-    page.flush()
-    return " ".join("".join(page.title).split()), "\n".join(page.lines), [t for t in page.tables if t]
+    """Title, lines of text (a table's row is one, its cells parted by bars) and tables."""
+    title, lines, tables = "", [], {}
+    for (kind, *at), parts in _addressed(_Tokens(html or "").found).items():
+        shown = " ".join("".join(parts).split())
+        if kind == "title":
+            title = shown
+        elif kind == "cell":
+            grid = tables.setdefault(at[0], {})
+            if at[1] not in grid:
+                lines.append(grid.setdefault(at[1], []))
+            grid[at[1]].append(shown)
+        elif shown:
+            lines.append(shown)
+    return title, "\n".join(x if isinstance(x, str) else " | ".join(x) for x in lines), [list(g.values()) for g in tables.values()]
 
 
 @F.pandas_udf(PAGE)

@@ -5,27 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import latin_key, name_tokens, number_tokens
+from ..functions.text import canonical_number, evidence_numbers, latin_key, name_tokens, number_tokens
 
 MOST_ISSUES = 12
+HOT = 64
 
 
 def unsupported_tokens(findings: DataFrame, evidence: DataFrame, key: str, text: str, english: bool = False) -> DataFrame:
     """(key, token) of numbers and names in a finding that its evidence lacks, at most 12 a
-    finding, numbers first. evidence: one row a key. Compared without punctuation and case."""
-    joined = findings.select(key, F.col(text).alias("f")).join(evidence.select(key, F.col(text).alias("e")), key, "left")
-    tokens = F.concat(F.coalesce(number_tokens(F.col("f")), F.array().cast("array<string>")), F.coalesce(name_tokens(F.col("f"), english), F.array().cast("array<string>")))
-    have = latin_key(F.coalesce(F.col("e"), F.lit("")))
-    missing = F.slice(F.filter("t", lambda x: ~F.contains(F.col("h"), latin_key(x))), 1, MOST_ISSUES)
-    return joined.select(key, tokens.alias("t"), have.alias("h")).select(key, F.explode(missing).alias("token"))
+    finding, numbers first. A number is there if its digits stand in the evidence's letters and
+    digits, or a number of equal value and kind (share or plain) does; a name if its letters and
+    digits do, in either case. evidence: one row a key."""
+    joined = findings.select(key, F.col(text).alias("f")).join(evidence.select(key, F.coalesce(F.col(text), F.lit("")).alias("e")), key, "left")
+    prepared = joined.select(key, number_tokens(F.col("f")).alias("numbers"), name_tokens(F.col("f"), english).alias("names"), F.coalesce(latin_key(F.col("e")), F.lit("")).alias("have"), F.coalesce(evidence_numbers(F.col("e")), evidence_numbers(F.lit(""))).alias("values"))
+    digits = lambda t: F.regexp_replace(F.lower(t), r"[\s,]+", "")
+    no_number = F.filter("numbers", lambda t: ~F.contains(F.col("have"), digits(t)) & ~F.coalesce(F.array_contains(F.col("values"), canonical_number(t)), F.lit(False)))
+    no_name = F.filter("names", lambda t: ~F.contains(F.col("have"), latin_key(t)))
+    return prepared.select(key, F.explode(F.slice(F.concat(no_number, no_name), 1, MOST_ISSUES)).alias("token"))
 
 
 def duplicate_findings(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """Rows whose words equal an earlier row's, and that row."""
+    """Rows whose words equal an earlier row's, and that row. Texts that make up a good part of
+    all rows are joined where they are."""
     norm = F.lower(F.regexp_replace(F.concat_ws(" ", *columns), r"[^\p{L}\p{N}]+", ""))
     keyed = df.select(F.col(order).alias("row"), F.sha2(norm, 256).alias("k"))
-    first = keyed.groupBy("k").agg(F.min("row").alias("first"))
-    return keyed.join(first, "k").filter(F.col("row") > F.col("first")).select("row", "first")
+    first = keyed.groupBy("k").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    hot = first.orderBy(F.desc("n")).limit(HOT)  # a top list of bounded size
+    spread = keyed.join(F.broadcast(hot.drop("n")), "k")
+    rest = keyed.join(F.broadcast(hot.select("k")), "k", "left_anti").join(first.drop("n"), "k")
+    return spread.unionByName(rest).filter(F.col("row") > F.col("first")).select("row", "first")
 
 
 def unknown_sources(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
@@ -34,14 +42,16 @@ def unknown_sources(rows: DataFrame, known: DataFrame, column: str) -> DataFrame
 
 def prefix_resolve(wanted: DataFrame, known: DataFrame, column: str, least: int = 8) -> DataFrame:
     """(wanted, resolved): the equal id, else the only id that begins with it, if it is of
-    ``least`` characters. The prefix join is an equi-join on the first ``least`` characters."""
-    w = wanted.select(F.col(column).alias("wanted")).distinct()
-    k = known.select(F.col(column).alias("id")).distinct()
-    head = lambda c: F.lower(F.substring(c, 1, least))
-    near = w.filter(F.length("wanted") >= least).withColumn("h", head("wanted")).join(k.withColumn("h", head("id")), "h").filter(F.startswith(F.lower("id"), F.lower("wanted")))
-    one = near.groupBy("wanted").agg(F.max(F.when(F.col("id") == F.col("wanted"), F.col("id"))).alias("exact"), F.count("*").alias("n"), F.min("id").alias("only"))
-    exact = w.join(k, w["wanted"] == k["id"], "left").select("wanted", F.col("id").alias("same"))
-    return exact.join(one, "wanted", "left").select("wanted", F.coalesce("same", "exact", F.when(F.col("n") == 1, F.col("only"))).alias("resolved"))
+    ``least`` characters. Known ids are counted by their prefixes of the lengths that are wanted,
+    before anything is joined, so ids that share a beginning never meet pair by pair."""
+    w = wanted.select(F.col(column).alias("wanted")).filter("wanted is not null").distinct()
+    k = known.select(F.col(column).alias("id")).filter("id is not null").distinct()
+    lengths = [r[0] for r in w.select(F.length("wanted")).distinct().collect() if r[0] >= least]  # as many as the longest id has characters, at most
+    heads = F.transform(F.filter(F.array(*map(F.lit, lengths or [least])), lambda n: n <= F.length("id")), lambda n: F.lower(F.substring(F.col("id"), F.lit(1), n)))
+    one = k.select("id", F.explode(heads).alias("head")).groupBy("head").agg(F.count("*").alias("n"), F.min("id").alias("only")).filter("n = 1")
+    exact = w.join(k, w["wanted"] == k["id"], "left")
+    near = exact.join(one, (F.lower("wanted") == F.col("head")) & (F.length("wanted") >= least), "left")
+    return near.select("wanted", F.coalesce("id", "only").alias("resolved"))
 
 
 def repair_rows(rows: DataFrame, catalog: DataFrame, key: str, fill: list[str]) -> DataFrame:

@@ -27,7 +27,7 @@ def profile_columns(df: DataFrame, limit: int | None = None) -> DataFrame:
         F.count_if("filled").alias("distinct_nonblank"),
         F.coalesce(F.sum(F.when(F.col("filled"), F.col("n") - 1)), F.lit(0)).alias("duplicate_nonblank"),
         F.coalesce(F.max(F.when(F.col("filled"), F.length("value"))), F.lit(0)).cast("long").alias("max_length"),
-        *[F.coalesce(F.sum(F.when(F.col("filled") & fits(k, F.trim("value")), F.col("n"))), F.lit(0)).alias(f"fits_{k}") for k in KINDS],
+        *[F.coalesce(F.sum(F.when(F.col("filled") & fits(k, F.col("value") if k in ("integer", "number") else F.trim("value")), F.col("n"))), F.lit(0)).alias(f"fits_{k}") for k in KINDS],
     )
     inferred = F.when(F.col("nonblank") == 0, "unknown")
     for k in KINDS:

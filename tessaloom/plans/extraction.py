@@ -16,7 +16,7 @@ from ..functions.values import lexical
 from ..operators.graph import as_set, emit, quad
 
 VOCABULARY = ("copy_scalar", "require_consensus", "concept_by_normalized_value", "reference_by_business_id", "object_fields", "reify_array_membership", "authority_projection", "explode_array", "derived_formula")
-REFUSED = ("explode_array", "derived_formula")
+REFUSED = ("explode_array", "derived_formula", "authority_projection")  # known, but nothing here would carry them out
 
 
 @dataclass(frozen=True)

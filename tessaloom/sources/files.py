@@ -66,4 +66,4 @@ def stored_text(store: DataFrame, wanted: DataFrame, key_cap: int = 16_000) -> D
     n = F.length("text")
     lo = F.greatest(F.lit(0), F.least(F.coalesce("start", F.lit(0)), n))
     hi = F.greatest(lo, F.least(F.coalesce("end", n), n, lo + key_cap))
-    return wanted.filter(F.col("key").rlike(KEY_SHAPE)).join(store, "key").select("key", F.substring("text", lo + 1, hi - lo).alias("text"), (hi < F.coalesce("end", n)).alias("clipped"))
+    return wanted.filter(F.col("key").rlike(KEY_SHAPE)).join(store, "key").select("key", F.substring("text", lo + 1, hi - lo).alias("text"), (hi < F.least(F.coalesce("end", n), n)).alias("clipped"))

@@ -27,7 +27,7 @@ def test_text_functions(spark):
     assert column(spark, ["/data/0"], text.pointer_token) == ["L2RhdGEvMA"]
     assert column(spark, ["中文", "abc"], text.has_cjk) == [True, False]
     assert column(spark, [" Straße ", "ＡＢ"], text.folded) == ["strasse", "ab"]
-    assert column(spark, ["key sk-abcdefghijk, api_key=abcdef123"], text.redact) == ["key [REDACTED], api_key=[REDACTED]"]
+    assert column(spark, ["key sk-abc, api_key=abc ak_x1 API-KEY: y;z", "ask-me", "x" * 1300], text.redact) == ["key [REDACTED], api_key=[REDACTED] [REDACTED] API-KEY: [REDACTED];z", "ask-me", "x" * 1200]
     found = column(spark, ["1.5m", "3,000", "7%", "x", "2万"], text.canonical_number)
     assert [(float(r.value), r.kind) if r else None for r in found] == [(1.5e6, "scalar"), (3000.0, "scalar"), (7.0, "percent"), None, (20000.0, "scalar")]
     assert text.heading_sections("# A\nx\n```\n# no\n```\n## B\ny") == [(1, "A", "x\n```\n# no\n```"), (2, "B", "y")]
@@ -52,6 +52,10 @@ def test_json_walk_and_pointers(spark):
     assert ("/a~1b/1/c", "/a~1b/*/c", None) in found and found[0][0] == ""
     for pointer, _, value in found:
         assert json_paths.pointer_get(document, pointer) == value
+    for miss in ("a", "/a~1b/2", "/a~1b/01", "/x", "/d/0", "/a~b", "/a~1b/1/c/x"):
+        with pytest.raises(LookupError):
+            json_paths.pointer_get(document, miss)
+    assert [json_paths.kind_of(x) for x in (None, True, 1, 1.5, "", [], {})] == ["null", "boolean", "integer", "number", "string", "array", "object"]
     assert json_paths.select(document, "/a~1b/*") == [("/a~1b/0", 1), ("/a~1b/1", {"c": None})]
     df = spark.createDataFrame([(1, json.dumps(document)), (2, "no json"), (3, None)], "k int, j string")
     assert json_paths.fragments(df, "k", "j").count() == len(found)
@@ -75,22 +79,26 @@ def test_profiles_of_edges(spark):
 
 
 def test_normalise_papers(spark):
-    envelope = {"endpoint": "/search/papers", "data": {"list": [
-        {"paper_id": "p1", "title": "T", "authors": [{"author_id": "s1", "is_first_author": True}], "author_ids": ["s2", ""], "institution_ids": ["i1", "i2"], "institution_id": "i2", "institutions": ["I"], "hotness": {"half_year": 0, "month": 3}, "citation_count": 4, "conference_name": "", "journal_name": "J", "count_by_year": [{"year": 2020, "count": 2}]},
+    envelope = {"endpoint": "/v1/paper/search", "data": {"list": [
+        {"paper_id": "p1", "title": "T", "authors": [{"author_id": "s1", "is_first_author": True}], "author_ids": ["s2", ""], "institution_ids": ["i1", "i2"], "institution_id": "i2", "institutions": ["I"], "hotness": {"half_year": 0, "month": 3}, "citation_count": 4, "conference_name": "", "journal_name": "J", "count_by_year": [{"year": 2020, "count": 2}], "awards": "Best"},
         "junk", {"id": 0, "title": None}]}}
-    tables = normalize.normalise(spark.createDataFrame([(json.dumps(envelope),), ("junk",)], "raw_text string"))
+    raw = spark.createDataFrame([(json.dumps(envelope),), ("junk",), (None,), (json.dumps(envelope | {"endpoint": "/papers"}),)], "raw_text string")
+    tables = normalize.normalise(raw)
     papers = {r.paper_id: r for r in tables["papers"].collect()}
-    assert set(papers) == {"p1", ""}
-    assert (papers["p1"].venue, papers["p1"].heat, papers["p1"].cited_by_count) == ("J", "3", 4.0)
+    assert set(papers) == {"p1", ""}  # an unknown endpoint gives none
+    assert (papers["p1"].venue, papers["p1"].heat, papers["p1"].cited_by_count, papers[""].citation_count, papers[""].title) == ("J", "3", "4", "0", "")
     assert sorted((r.scholar_id, r.author_order) for r in tables["paper_author"].collect()) == [("s1", 1), ("s2", 1)]
     assert sorted((r.institution_id, r.institution_name, r.is_primary) for r in tables["paper_institution"].collect()) == [("i1", "I", False), ("i2", "", True)]
-    assert rows(tables["paper_yearly_counts"].select("year", "value")) == [("2020", 2.0)]
+    assert rows(tables["paper_yearly_counts"].select("year", "cited_by_count")) == [("2020", "2")]
+    assert rows(tables["paper_awards"].select("conf", "award_title")) == [("", "Best")]
+    assert set(tables) == {t for _, x in normalize.NORMALISERS.values() for t in x} and len(tables) == 18
 
 
-def test_funding_summary_round(spark):
-    envelope = {"endpoint": "/funding", "data": [{"institution_id": "a", "funding_total_usd": 5.0}, {"institution_id": "b", "funding_rounds": [{"round_id": "r", "amount_usd": 1.0}]}, {"institution_id": "c"}]}
-    found = normalize.normalise(spark.createDataFrame([(json.dumps(envelope),)], "raw_text string"))["funding_rounds"]
-    assert sorted(rows(found.select("institution_id", "round_name", "amount_usd"))) == [("a", "Funding summary", 5.0), ("b", "", 1.0)]
+def test_funding_of_a_profile_without_rounds(spark):
+    profile = lambda i, data: (json.dumps({"endpoint": "/funding-profile", "request": {"institution_id": i}, "data": data}),)
+    raw = spark.createDataFrame([profile("a", {"summary": {"total_funding": {"currency": "USD", "value": 5}}}), profile("b", {"funding": {"funding_rounds": [{"id": "r"}]}}), profile("c", [])], "raw_text string")
+    found = normalize.normalise(raw)["funding_rounds"]
+    assert sorted(rows(found.select("institution_id", "funding_id", "title", "value"))) == [("a", "a_funding_summary", "Funding summary", "5"), ("b", "r", "", ""), ("c", "c_funding_summary", "Funding summary", "")]
 
 
 def test_append_merge_is_idempotent(spark):
@@ -116,7 +124,8 @@ def test_plan_and_serialisations(spark):
 
 def test_grounding(spark):
     findings = spark.createDataFrame([(1, "GPT4 grew 12% in 2020"), (2, "Nothing here")], "k int, t string")
-    evidence = spark.createDataFrame([(1, "gpt-4 in 2020")], "k int, t string")
+    evidence = spark.createDataFrame([(1, "gpt-4 in 2020, 12 of them")], "k int, t string")
+    assert sorted(rows(grounding.prefix_resolve(spark.createDataFrame([("abcdefgh",), ("abcdefghi1",), ("ABCDEFGHI2",), ("abc",), (None,)], "k string"), spark.createDataFrame([("abcdefghi1",), ("abcdefghi2",), ("abcdefghi2",), ("abc",)], "k string"), "k"))) == [("ABCDEFGHI2", "abcdefghi2"), ("abc", "abc"), ("abcdefgh", None), ("abcdefghi1", "abcdefghi1")]
     assert rows(grounding.unsupported_tokens(findings, evidence, "k", "t", english=True)) == [(1, "12%")]
     insights = spark.createDataFrame([("i", ["s"], ["a", "b"])], "insight string, signals array<string>, sources array<string>")
     signals = spark.createDataFrame([("s", ["a"])], "signal string, sources array<string>")
@@ -149,6 +158,10 @@ def test_sql_guard(spark):
     for bad in ("DROP TABLE numbers", "INSERT INTO numbers VALUES (1)", "CREATE TABLE t AS SELECT 1", "SET a=b"):
         with pytest.raises(bounded_sql.NotReadOnly):
             bounded_sql.bounded_sql(spark, bad)
+    for bad in ("SELECT reflect('java.lang.System', 'exit', 1)", "SELECT * FROM (SELECT java_method('a', 'b') AS x)", "SELECT * FROM csv.`/etc/passwd`", "EXPLAIN DROP TABLE numbers", "WITH x AS (SELECT reflect('a', 'b')) SELECT * FROM x"):
+        with pytest.raises(bounded_sql.NotReadOnly):
+            bounded_sql.guard(spark, bad)
+    bounded_sql.guard(spark, "EXPLAIN FORMATTED SELECT id, 'reflect(1)' FROM numbers")
 
 
 def test_files(spark, tmp_path):
