@@ -33,7 +33,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import regex
@@ -46,12 +46,14 @@ from .runtime import arrow_map
 #: The code points of white space.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = re.compile(f"[{_SPACE}]+")
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 CACHE_LENGTH = 64
 SHORT = 24
 STEP = 32
 FEED = 4096  # words whose bytes enter the decoder at once
 NEVER = 1 << 60
+ID_BITS = 20
+ID_MASK = (1 << ID_BITS) - 1
 
 
 def byte_alphabet() -> list[str]:
@@ -84,95 +86,102 @@ class Bpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.end = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = model["vocab"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.ranks = {m: i for i, m in enumerate(merges)}
-        self.names = {i: t for t, i in self.vocab.items()}
+        self.names = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names |= {i: t for t, i in self.special.items()}
         self.name_bytes = {i: t.encode("utf-8") for i, t in self.names.items()}
-        self.need = lookaheads(merges, lambda t: len(t.removesuffix(self.end)))
-        self.lookahead = max(self.need.values(), default=0) if self.need is not None else None
+        self.prepare([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], model["vocab"], model["end_of_word_suffix"] or "")
+        alphabet = byte_alphabet()
+        self.byte_ids = [self.vocab[c] for c in alphabet]
+        self.last_ids = [self.vocab[c + self.end] for c in alphabet]
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", _SPACE))
-        self.alphabet = byte_alphabet()
         self.recent: dict[str, list[int]] = {}
-        bytes_of = {c: b for b, c in enumerate(self.alphabet)}
+        bytes_of = {c: b for b, c in enumerate(alphabet)}
         self.token_bytes = {i: t.encode() if t in self.special else bytes(bytes_of[c] for c in t.removesuffix(self.end)) + b" " * bool(self.end and t.endswith(self.end)) for i, t in self.names.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
+    def prepare(self, merges: list[tuple[str, str]], vocab: dict[str, int], end: str) -> None:
+        """Merges by the ids of a pair, as one number: rank, then the made token's id."""
+        self.vocab, self.end = vocab, end
+        width = lambda t: len(t.removesuffix(end))
+        need = lookaheads(merges, width)
+        self.pairs = {vocab[u] << ID_BITS | vocab[v]: r << ID_BITS | vocab[u + v] for r, (u, v) in enumerate(merges)}
+        self.width = {i: width(t) for t, i in vocab.items()}
+        self.need = {i: need.get(t, 0) for t, i in vocab.items()} if need is not None else None
+        self.lookahead = max(self.need.values(), default=0) if need is not None else None
+
     # --- encoding
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """Merges of a bounded buffer: always the pair of least rank, leftmost first."""
+    def merge(self, symbols: list[int]) -> list[int]:
+        """Merges of a bounded buffer of ids: always the pair of least rank, leftmost first."""
         n = len(symbols)
         if n < 2:
             return symbols
         if n <= SHORT:
-            return self._merge_short(symbols)
+            return self._merge_short(symbols[:])
         parts, after, before = list(symbols), [*range(1, n), -1], [*range(-1, n - 1)]
-        ranks = self.ranks
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        pairs = self.pairs
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := pairs.get(parts[i] << ID_BITS | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i]
             if parts[i] != a or j < 0 or parts[j] != b:
                 continue
-            parts[i], parts[j] = a + b, ""
+            parts[i], parts[j] = rank & ID_MASK, -1
             after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if (r := ranks.get((parts[i], parts[k]))) is not None:
+                if (r := pairs.get(parts[i] << ID_BITS | parts[k])) is not None:
                     heapq.heappush(heap, (r, i, parts[i], parts[k]))
             h = before[i]
-            if h >= 0 and (r := ranks.get((parts[h], parts[i]))) is not None:
+            if h >= 0 and (r := pairs.get(parts[h] << ID_BITS | parts[i])) is not None:
                 heapq.heappush(heap, (r, h, parts[h], parts[i]))
-        return [p for p in parts if p]
+        return [p for p in parts if p >= 0]
 
-    def _merge_short(self, parts: list[str]) -> list[str]:
+    def _merge_short(self, parts: list[int]) -> list[int]:
         """The same by scanning, which is quicker than a heap for a few symbols."""
-        rank = self.ranks.get
-        ranks = [rank(p, NEVER) for p in zip(parts, parts[1:])]
-        while ranks and (least := min(ranks)) < NEVER:
+        get = self.pairs.get
+        ranks = [get(a << ID_BITS | b, NEVER) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == NEVER:
+                break
             i = ranks.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            made = least & ID_MASK
+            parts[i : i + 2] = (made,)
             del ranks[i]
             if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), NEVER)
+                ranks[i] = get(made << ID_BITS | parts[i + 1], NEVER)
             if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), NEVER)
+                ranks[i - 1] = get(parts[i - 1] << ID_BITS | made, NEVER)
         return parts
 
-    def stream(self, symbols: Iterable[str], step: int = STEP) -> Iterator[str]:
+    def stream(self, symbols: Iterable[int], step: int = STEP) -> Iterator[int]:
         """Tokens of one pre-token from its symbols, each soon after it is stable."""
-        buffer: list[str] = []
-        need, look = self.need, step
-        for s in symbols:
-            buffer.append(s)
-            if len(buffer) >= look and need is not None:
-                used = 0
-                for token in self.merge(buffer[:]):
-                    end = used + len(token.removesuffix(self.end))
-                    if len(buffer) - end < need.get(token, 0):
-                        break
-                    used = end
-                    yield token
-                del buffer[:used]
-                look = len(buffer) + step
+        buffer: list[int] = []
+        symbols, need, width = iter(symbols), self.need, self.width
+        while more := list(islice(symbols, step)):
+            buffer += more
+            if len(more) < step or need is None:
+                continue
+            used = 0
+            for token in self.merge(buffer):
+                end = used + width[token]
+                if len(buffer) - end < need[token]:
+                    break
+                used = end
+                yield token
+            del buffer[:used]
         yield from self.merge(buffer)
 
-    def symbols(self, piece: str) -> Iterator[str]:
+    def symbols(self, piece: str) -> Iterator[int]:
         data = piece.encode("utf-8")
-        alphabet = self.alphabet
-        for b in data[:-1]:
-            yield alphabet[b]
-        yield alphabet[data[-1]] + self.end
+        return chain(map(self.byte_ids.__getitem__, data[:-1]), (self.last_ids[data[-1]],))
 
     def piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
-        vocab = self.vocab
-        return [vocab[t] for t in self.stream(self.symbols(piece))]
+        return list(self.stream(self.symbols(piece)))
 
     def word(self, word: str) -> list[int]:
         """Ids of a stretch without white space, normalised already."""
