@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,13 +49,14 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_new_only(new: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends the rows whose key isn't stored yet; a content hash as key makes it write-once."""
+    """Appends the rows whose key isn't stored yet; a content hash as key makes it write-once. For
+    one writer at a time."""
     spark = new.sparkSession
     fresh = new.dropDuplicates([key])
     try:
         fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
     fresh.write.mode("append").parquet(path)
     return spark.read.parquet(path)

@@ -32,10 +32,8 @@ def append_merge_sink(path: str, keys: list[str]):
     def write(batch: DataFrame, _: int) -> None:
         from ..sources.files import write_new_only
 
-        spark = batch.sparkSession
         keyed = batch.withColumn("_key", F.sha2(F.to_json(F.struct(*keys)), 256))
         write_new_only(keyed, path, "_key")
-        del spark
 
     return write
 
@@ -48,7 +46,7 @@ def error_fold(stream: DataFrame, key: str, order: str, ok: str) -> DataFrame:
     def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failures = state.get[0] if state.exists else 0
         for part in [pd.concat(list(batches)).sort_values(order)]:
-            for fine in part[ok]:
+            for fine in part[ok].eq(True):  # what isn't known to have gone well has failed
                 failures = 0 if fine else failures + 1
         state.update((failures,))
         yield pd.DataFrame({key: [k[0]], "failures": [failures]})

@@ -187,3 +187,88 @@ def test_streaming(spark, tmp_path):
     q = incremental.error_fold(stream, "k", "o", "ok").writeStream.outputMode("update").format("memory").queryName("folded").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(rows(spark.table("folded"))) == [("a", 1), ("b", 0)]
+
+
+def run_stream(spark, stream, name, mode="append"):
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    return spark.table(name)
+
+
+def test_streams_of_events(spark, tmp_path):
+    schema = "k string, n int, ts timestamp"
+    day = "2024-01-01 "
+    data = [("a", 1, f"{day}10:00:00"), ("a", 1, f"{day}10:05:00"), ("b", 2, f"{day}10:30:00"), ("b", 3, f"{day}11:10:00"), ("c", 4, None)]
+    spark.createDataFrame(data, "k string, n int, t string").select("k", "n", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    assert sorted(rows(run_stream(spark, incremental.deduplicated(stream().filter("ts is not null"), ["k", "n"], "ts"), "once").select("k", "n"))) == [("a", 1), ("b", 2), ("b", 3)]
+    counted = run_stream(spark, incremental.windowed_counts(stream(), "ts", ["k"]), "counted", "update")
+    assert sorted((r.k, r.n) for r in counted.collect()) == [("a", 2), ("b", 1), ("b", 1)]
+    assert sorted(rows(run_stream(spark, incremental.within(stream(), "ts", "2024-01-01", f"{day}10:30:00"), "kept").select("n"))) == [(1,), (1,), (2,)]
+    for _ in range(2):  # the same batch again adds nothing
+        stream().writeStream.foreachBatch(incremental.append_merge_sink(str(tmp_path / "out"), ["k", "n"])).trigger(availableNow=True).start().awaitTermination(60)
+    assert sorted(rows(spark.read.parquet(str(tmp_path / "out")).select("k", "n"))) == [("a", 1), ("b", 2), ("b", 3), ("c", 4)]
+    events = spark.createDataFrame([('{"type": "delta", "partial": "x", "text": "y"}',)], "event string")
+    assert json.loads(incremental.compact_events(events).first().event) == {"type": "delta", "text": "y"}
+
+
+def test_error_fold_counts_unknown_outcomes_as_failures(spark, tmp_path):
+    spark.createDataFrame([("a", 1, True), ("a", 2, None), ("a", 3, False)], "k string, o int, ok boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, o int, ok boolean").parquet(str(tmp_path / "in"))
+    assert rows(run_stream(spark, incremental.error_fold(stream, "k", "o", "ok"), "unknown", "update")) == [("a", 2)]
+
+
+def test_files_as_tables(spark, tmp_path):
+    from hashlib import sha256
+
+    (tmp_path / "e.jsonl").write_text('{"a": 1}\n\n{bad\n')
+    found = files.event_lines(spark, str(tmp_path / "e.jsonl"))
+    assert [r.warning for r in found.select("warning").collect()] == [None, "{bad"]
+    assert [r.length for r in files.file_listing(spark, str(tmp_path), "*.jsonl").collect()] == [15]
+    assert files.checksums(spark, str(tmp_path)).first().sha256 == sha256((tmp_path / "e.jsonl").read_bytes()).hexdigest()
+
+
+def test_filings_and_companies(spark):
+    hits = {"hits": {"total": {"value": 5}, "hits": [{"_id": "0001-23:doc.htm:x", "_source": {"form": "10-K", "file_date": "2024-01-02"}}]}}
+    df = spark.createDataFrame([(json.dumps(hits),)], "j string")
+    assert rows(finance.filing_hits(df, "j")) == [(1, "0001-23", "doc.htm:x", "10-K", "2024-01-02", True)]
+    wanted, tickers = spark.createDataFrame([("320193",), ("msft",), ("none",)], "company string"), spark.createDataFrame([("MSFT", 789019), ("MSFT", 999999)], "ticker string, cik long")
+    assert sorted(rows(finance.resolve_company(wanted, tickers))) == [("320193", "0000320193"), ("msft", "0000789019"), ("none", None)]
+    recent = spark.createDataFrame([(["a", "b", "c"], ["10-K", "8-K"])], "id array<string>, form array<string>")
+    assert [r.id for r in finance.zipped_profile(recent, ["id", "form"], "form").collect()] == ["a", "b"]
+    assert [r.id for r in finance.zipped_profile(recent, ["id", "form"], "form", ["8-K"]).collect()] == ["b"]
+
+
+def test_sorts_windows_and_budgets(spark):
+    from datetime import date
+
+    from tessaloom.operators import acquire, lineage
+
+    df = spark.createDataFrame([(1, 0.0, 5.0, "2024"), (2, 7.0, 1.0, ""), (3, 6.0, 9.0, "2025")], "i int, heat double, total double, pub_date string")
+    order = lambda kind: [r.i for r in acquire.sort_rows(df, kind, "i").collect()]
+    assert (order("heat"), order("publish_time"), order("whatever")) == ([2, 3, 1], [3, 1, 2], [1, 2, 3])
+    acquire.call_budget(1, 5, 6)
+    with pytest.raises(RuntimeError):
+        acquire.call_budget(2, 5, 6)
+    today = date(2024, 3, 31)
+    assert values.resolve_window(None, None, today) == (today, today)
+    assert values.resolve_window(None, date(2024, 3, 30), today) == (date(2024, 3, 1), date(2024, 3, 30))
+    assert column(spark, ["2024-03-31"], lambda c: values.month_before(c.cast("date")).cast("string")) == ["2024-02-29"]
+    assert column(spark, ["a\n# b", "- x", "a"], text.markdown_structured) == [True, True, False]
+    assert [html.text_limit(x) for x in (None, 5, 99_999, 700)] == [12_000, 200, 30_000, 700]
+    assert lineage.drop_empty({"a": None, "b": [], "c": {}, "d": 0, "e": ""}) == {"d": 0, "e": ""}
+    assert lineage.named_tables(["a.csv", "b.csv"], ["a"], []) == ["a.csv"] and lineage.named_tables(["a.csv", "b.csv"], [], ["b.csv"]) == ["a.csv"]
+    served = spark.createDataFrame([("1", 0.0), ("2", 1.0), (None, 0.0)], "id string, reward double")
+    assert [lineage.serving_filter(served, **w).count() for w in ({}, {"reward": 0}, {"id": "1' or '1'='1"})] == [2, 2, 0]
+    profile = spark.createDataFrame([("e", "/a"), ("e", "/b"), ("f", "/a")], "endpoint string, pattern string")
+    assert [lineage.path_lookup(profile, *w).count() for w in ((), ("e",), (None, "/a"), ("e", "/a"))] == [3, 2, 2, 1]
+    grid = spark.createDataFrame([([[["x" * 600] * 40] * 60] * 12,)], "t array<array<array<string>>>").select(html.clip_tables(F.col("t")).alias("t")).first().t
+    assert (len(grid), len(grid[0]), len(grid[0][0]), len(grid[0][0][0])) == (10, 50, 30, 500)
+
+
+def test_evidence_excerpt_keeps_within_its_total(spark):
+    from tessaloom.operators import lineage
+
+    items = spark.createDataFrame([(i, "word  " * 400) for i in range(60)], "id int, t string")
+    got = lineage.excerpt(items, items.select("id").filter("id >= 10"), "id", "t", "id").collect()
+    assert [r.id for r in got] == list(range(10, 36)) and {len(r.text) for r in got} == {900}
