@@ -257,7 +257,7 @@ def expected_metrics(s, d):
     return graph.metric_check(expected, actual).fillna(-1, ["actual"])
 
 
-@query("SELECT 'ins_' || lpad(CAST(p_partkey AS VARCHAR), greatest(3, length(CAST(p_partkey AS VARCHAR))), '0') AS insight_id, p_name AS title, least(1.0, greatest(0.0, CASE WHEN p_partkey % 4 = 0 THEN 0.5 ELSE CAST(p_size AS DOUBLE) - 3 END)) AS confidence FROM part WHERE p_partkey % 3 > 0")
+@query("SELECT 'ins_' || lpad(CAST(p_partkey AS VARCHAR), CAST(greatest(3, length(CAST(p_partkey AS VARCHAR))) AS INTEGER), '0') AS insight_id, p_name AS title, least(1.0, greatest(0.0, CASE WHEN p_partkey % 4 = 0 THEN 0.5 ELSE CAST(p_size AS DOUBLE) - 3 END)) AS confidence FROM part WHERE p_partkey % 3 > 0")
 def finalised_insights(s, d):
     k = F.col("p_partkey")
     made = table(s, d, "part").select(F.when(k % 3 == 0, F.concat(F.lit("x_"), k)).otherwise(F.concat(F.lit("ins_"), F.lpad(k.cast("string"), F.greatest(F.lit(3), F.length(k.cast("string"))), F.lit("0")))).alias("insight_id"), F.col("p_name").alias("title"), F.when(k % 4 > 0, F.col("p_size") - 3).alias("confidence"))
