@@ -361,4 +361,4 @@ def first_last_series(s, d):
     return finance.first_last(table(s, d, "orders").filter("o_custkey is not null"), "o_custkey", "o_orderkey", "o_totalprice")
 
 
-from . import catalog_more, catalog_tables  # noqa: E402, F401  they register more
+from . import catalog_more, catalog_scope, catalog_tables  # noqa: E402, F401  they register more

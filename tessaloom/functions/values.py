@@ -7,6 +7,8 @@ from datetime import date, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .json_paths import strict_json
+
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -53,7 +55,7 @@ def fits(kind: str, c: Column) -> Column:
     if kind == "datetime":
         return c.rlike(SHAPES["datetime"]) & c.try_cast("timestamp").isNotNull()
     opening = "[" if kind == "json_array" else "{"
-    return F.startswith(F.ltrim(c), F.lit(opening)) & F.try_parse_json(c).isNotNull()
+    return F.startswith(F.ltrim(c), F.lit(opening)) & strict_json(c).isNotNull()
 
 
 def lexical(c: Column, datatype: str) -> Column:
@@ -84,3 +86,31 @@ def resolve_window(start: date | None, end: date | None, today: date) -> tuple[d
     if end is None:
         return start or today, today
     return start or end - timedelta(days=29), end
+
+
+def calendar_date(c: Column) -> Column:
+    """A date that exists, written YYYY-MM-DD; else null."""
+    t = F.trim(c)
+    return F.when(t.rlike(SHAPES["date"]), t.try_cast("date"))
+
+
+def epoch(c: Column) -> Column:
+    """Seconds from 1970 to the date's midnight in UTC."""
+    return F.unix_date(calendar_date(c)).cast("long") * 86_400
+
+
+#: Words for days, longer ones first, and the shape of written dates.
+RELATIVE_DAYS = {"大前天": 3, "前天": 2, "昨天": 1, "昨日": 1, "今天": 0, "今日": 0, "当天": 0}
+WRITTEN_DATE = r"(?:(\d{4})\s*(?:年|[-/.])\s*)?(\d{1,2})\s*(?:月|[-/.])\s*(\d{1,2})\s*日?"
+
+
+def asked_date(c: Column, today: Column) -> Column:
+    """The date a text asks for: a written one (of today's year, if it names none), else a day
+    relative to today, else today; null if it names several or one that doesn't exist."""
+    part = lambda i: F.regexp_extract_all(c, F.lit(WRITTEN_DATE), F.lit(i))
+    year = F.coalesce(F.nullif(F.get(part(1), F.lit(0)), F.lit("")), F.year(today).cast("string"))
+    written = F.concat_ws("-", year, F.lpad(F.get(part(2), F.lit(0)), 2, "0"), F.lpad(F.get(part(3), F.lit(0)), 2, "0")).try_cast("date")
+    words = F.regexp_extract_all(c, F.lit("|".join(RELATIVE_DAYS)), F.lit(0))
+    days = F.element_at(F.create_map(*(F.lit(x) for p in RELATIVE_DAYS.items() for x in p)), F.get(words, F.lit(0)))
+    dates, relative = F.size(part(0)), F.size(words)
+    return F.when(dates + relative > 1, F.lit(None).cast("date")).when(dates == 1, written).when(relative == 1, F.date_sub(today, days)).otherwise(today)

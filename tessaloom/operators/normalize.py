@@ -9,12 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_paths import strict_json
+
 ITEM = "item"
 
 
 def envelopes(raw: DataFrame, column: str = "raw_text") -> DataFrame:
     """endpoint, source_raw and the whole envelope; texts that aren't JSON give none."""
-    v = raw.select(F.try_parse_json(column).alias("envelope")).filter("envelope is not null")
+    v = raw.select(strict_json(F.col(column)).alias("envelope")).filter("envelope is not null")
     return v.select(F.coalesce(get("envelope", "endpoint"), F.lit("")).alias("endpoint"), F.coalesce(get("envelope", "raw_uri"), F.lit("")).alias("source_raw"), "envelope")
 
 
@@ -304,3 +306,9 @@ def normalise(raw: DataFrame, column: str = "raw_text") -> dict[str, DataFrame]:
 def append_merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """Both tables' rows once, on typed values; columns that one lacks are null there."""
     return old.unionByName(new, allowMissingColumns=True).dropDuplicates()
+
+
+def endpoint_kind(endpoint: Column) -> Column:
+    """paper, scholar, institution or funding; null for other endpoints."""
+    marks = {"paper/search": "paper", "scholar/search": "scholar", "institutions/search": "institution", "funding-profile": "funding"}  # fixed values
+    return F.coalesce(*(F.when(endpoint.contains(m), k) for m, k in marks.items()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.json_paths import strict_json
 from .normalize import get, is_a
 
 #: Kinds of JSON values as Spark names them.
@@ -129,3 +130,41 @@ def identifier_fine(c: Column) -> Column:
 
 def nonblank_row(*columns: str) -> Column:
     return F.exists(F.array(*(F.col(c).cast("string") for c in columns)), lambda x: F.coalesce(F.trim(x) != "", F.lit(False)))
+
+
+#: Keys of the composite field types.
+HOTNESS = ("day", "week", "month", "half_year", "previous_half_year")
+IMPACT = ("paper", "talent", "news", "funding", "industry")
+NEWS = ("title", "source", "date")
+
+
+def fits_contract(v: Column, kind: str) -> Column:
+    """Whether a variant is of a field type of the templates: string, integer, number,
+    string_array, hotness, impact or news_array."""
+    among = lambda x, *kinds: F.exists(F.array(*(F.lit(k) for k in kinds)), lambda k: F.startswith(F.schema_of_variant(x), k))
+    number = lambda x: among(x, *VARIANT_KINDS["number"])
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    keys, listed = F.transform(entries, lambda e: e["key"]), F.try_variant_get(v, "$", "array<variant>")
+    same = lambda found, wanted: F.array_sort(found) == F.array(*map(F.lit, sorted(wanted)))
+    if kind == "string_array":
+        fine = is_a(v, "ARRAY") & F.forall(listed, lambda x: among(x, "STRING"))
+    elif kind == "hotness":
+        fine = is_a(v, "OBJECT") & (F.size(F.array_except(keys, F.array(*map(F.lit, HOTNESS)))) == 0) & F.array_contains(keys, "half_year") & F.forall(entries, lambda e: among(e["value"], "BIGINT"))
+    elif kind == "impact":
+        fine = is_a(v, "OBJECT") & same(keys, IMPACT) & F.forall(entries, lambda e: number(e["value"]))
+    elif kind == "news_array":
+        inner = lambda x: F.map_entries(F.try_variant_get(x, "$", "map<string,variant>"))
+        fine = is_a(v, "ARRAY") & F.forall(listed, lambda x: among(x, "OBJECT") & same(F.transform(inner(x), lambda e: e["key"]), NEWS) & F.forall(inner(x), lambda e: among(e["value"], "STRING")))
+    else:
+        fine = among(v, *VARIANT_KINDS[kind])
+    return F.coalesce(fine, F.lit(False))
+
+
+def seed_issues(plan: DataFrame, seed: DataFrame, key: str, forbidden: list[str]) -> DataFrame:
+    """(key, code) of plans (key, text as JSON) against their seeds: missing, extra or changed, or
+    with a forbidden key at its top."""
+    both = seed.select(key, F.col("text").alias("s")).join(plan.select(key, F.col("text").alias("p")), key, "full_outer")
+    p, s = strict_json(F.col("p")), strict_json(F.col("s"))
+    keys = F.coalesce(F.map_keys(F.try_variant_get(p, "$", "map<string,variant>")), F.array().cast("array<string>"))
+    codes = F.array(F.when(F.col("p").isNull(), "missing"), F.when(F.col("s").isNull(), "extra"), F.when(~F.to_json(p).eqNullSafe(F.to_json(s)) & F.col("p").isNotNull() & F.col("s").isNotNull(), "changed"), F.when(F.arrays_overlap(keys, F.array(*map(F.lit, forbidden))), "forbidden_key"))
+    return both.select(key, F.explode(F.array_compact(codes)).alias("code"))
