@@ -115,3 +115,16 @@ def serving_scan(spark: SparkSession, name: str, columns: list[str], limit: int,
 def append_stage_events(events: DataFrame, path: str) -> None:
     """Events of stages (job, stage, state, at) as JSON lines, appended."""
     events.write.mode("append").json(path)
+
+
+def publish(df: DataFrame, root: str, run: str) -> None:
+    """Writes a bundle under its run's name, once, and then one row that points to it: readers see
+    the old bundle or the whole new one."""
+    df.write.mode("errorifexists").parquet(f"{root}/bundles/{run}")
+    df.sparkSession.range(1).select(F.lit(run).alias("run"), F.current_timestamp().alias("published_at")).write.mode("append").parquet(f"{root}/pointers")
+
+
+def published(spark: SparkSession, root: str) -> DataFrame:
+    """The bundle published last."""
+    last = spark.read.parquet(f"{root}/pointers").agg(F.max_by("run", F.struct("published_at", "run")).alias("run")).first()
+    return spark.read.parquet(f"{root}/bundles/{last.run}")

@@ -101,3 +101,97 @@ def test_filtered_items_are_written(spark, tmp_path):
 def test_nulls_give_defined_classes(spark):
     one = spark.range(1).select(outcomes.error_class(F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("c"), outcomes.argument_issue(F.lit("get"), F.lit(None).cast("variant"), ["a"]).alias("i"), outcomes.failure_stage(F.lit(None).cast("int"), F.lit(None).cast("string")).alias("s")).first()
     assert one.c.reason == "internal_error" and one.c.retryable and one.i == "not_object" and one.s == "queued"
+
+
+class _Service:
+    """A paged service on this machine that fails the first calls of each page it is told to."""
+
+    def __init__(self, rows, failures=None, total=True):
+        import threading
+        from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+        calls = self.calls = []
+        failures = dict(failures or {})
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_POST(self):
+                asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                calls.append((asked["page"], self.headers.get("X-Key")))
+                left = failures.get(asked["page"], [])
+                status = left.pop(0) if left else 200
+                found = rows[(asked["page"] - 1) * asked["size"] : asked["page"] * asked["size"]]
+                body = json.dumps({"code": 0, "trace_id": f"t{asked['page']}", "data": {**({"total": len(rows)} if total else {}), "list": found}}).encode()
+                self.send_response(status)
+                self.send_header("Retry-After", "0")
+                self.send_header("Content-Length", str(len(body)))
+                self.end_headers()
+                self.wfile.write(body)
+
+            def log_message(self, *args):
+                pass
+
+        self.server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        self.url = f"http://127.0.0.1:{self.server.server_port}/search"
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+
+
+def _pages(spark, service, **options):
+    from tessaloom.sources.http import PagedJson
+
+    spark.dataSource.register(PagedJson)
+    return spark.read.format("paged_json").options(url=service.url, size="10", pages_per_task="2", **{"header.X-Key": "k"}, **options).load()
+
+
+def test_pages_are_read_once_each_and_tried_again(spark):
+    service = _Service([{"id": i} for i in range(47)], {1: [429], 3: [503, 503]})
+    got = _pages(spark, service)
+    from tessaloom.operators.normalize import envelopes, items
+
+    ids = items(envelopes(got)).select(F.try_variant_get("item", "$.id", "int").alias("id"))
+    assert sorted(r.id for r in ids.collect()) == list(range(47)) and all(key == "k" for _, key in service.calls)
+    assert _pages(spark, service, max_pages="2").count() == 2
+
+
+def test_pages_without_a_total_end_at_an_empty_one(spark):
+    service = _Service([{"id": i} for i in range(25)], total=False)
+    assert sorted(r.page for r in _pages(spark, service).collect()) == [1, 2, 3] and max(p for p, _ in service.calls) == 4
+    assert _pages(spark, _Service([])).count() == 0
+
+
+def test_refusals_are_errors():
+    from tessaloom.sources import http
+
+    service = _Service([{"id": 1}], {1: [403]})
+    with pytest.raises(http.ServiceError, match="403"):
+        http.fetch(service.url, b'{"page": 1, "size": 1}')
+    assert len(service.calls) == 1
+    slept = []
+    with pytest.raises(http.ServiceError, match="no answer"):
+        http.fetch("http://127.0.0.1:9/none", sleep=slept.append)
+    assert slept == [1.0, 2.0] and http.waited({"Retry-After": "7"}, 0) == 7 and http.waited({"Retry-After": "x"}, 1) == 2
+    for bad in (b"x", b"[]", b'{"code": 3}', b'{"code": 0, "data": {"list": 1}}'):
+        with pytest.raises(http.ServiceError):
+            http.envelope(bad, "u")
+
+
+def test_requests():
+    from tessaloom.sources.http import filing_search, page_address, price_request
+
+    assert price_request("b", " brk-b ", "w", end="2024-01-02") == f"b/BRK-B?period1={1704239999 - 365 * 86400}&period2=1704239999&interval=1wk"
+    assert price_request("b", "X", start="2024-01-02", now=5) == "b/X?period1=1704153600&period2=1704153600&interval=1d"
+    assert filing_search("b", '"a b"', "10-K", "2024-01-01", "2024-02-01") == "b?q=%22a+b%22&forms=10-K&dateRange=custom&startdt=2024-01-01&enddt=2024-02-01"
+    assert page_address(path="a/b.HTM") == ("path", "a/b.HTM")
+    for bad in (lambda: price_request("b", ""), lambda: filing_search("b", "x", start="2024-01-01"), lambda: page_address("https://a", "b.html"), lambda: page_address("http://a"), lambda: page_address(path="a.txt")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_bundles_are_published_whole(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    files.publish(spark.range(3), str(tmp_path), "r1")
+    files.publish(spark.range(5), str(tmp_path), "r2")
+    assert files.published(spark, str(tmp_path)).count() == 5
+    with pytest.raises(AnalysisException):
+        files.publish(spark.range(1), str(tmp_path), "r1")
+    assert files.published(spark, str(tmp_path)).count() == 5
