@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import _QUADS_SQL, _star_quads, query
 from .functions import json_paths, values
-from .operators import normalize, outcomes, scope, validation
+from .operators import finance, lineage, normalize, outcomes, scope, validation
 from .plans import projection
 from .sources.files import table
 
@@ -264,3 +264,35 @@ def navigated_path(s, d):
     typed = table(s, d, "nation").select(F.concat(F.lit(f"{_B}nation/"), "n_nationkey").alias("subject"), F.lit(projection.TYPE).alias("predicate"), F.lit(f"{_B}Nation").alias("value"))
     schema = projection.Schema(_SCHEMA.classes, _SCHEMA.objects, {"status": projection.Property("Order", "xsd:string")})
     return projection.navigate(quads.unionByName(typed), schema, "Nation", ["^nation", "^customer", "status"], _B)
+
+
+@query("SELECT c_custkey, 'USD' AS currency, CAST(coalesce(trunc(c_acctbal / 1000), 0) AS BIGINT) AS value, CAST(coalesce(trunc(c_acctbal / 1000), 0) <> 0 AS INTEGER) AS funding_round_count FROM customer")
+def funding_profiles(s, d):
+    made = finance.funding_profiles(table(s, d, "customer").withColumn("total", F.col("c_acctbal") / 1000), "c_custkey", "total")
+    return made.select("c_custkey", "total_funding.currency", "total_funding.value", "funding_round_count")
+
+
+def _columns(s, d):
+    names = [(t, f.name) for t in ("customer", "orders", "nation") for f in table(s, d, t).schema]
+    return s.createDataFrame(names, "table string, column string")
+
+
+@query("""WITH c AS (SELECT count(*) = count(DISTINCT c_custkey) AS u FROM customer), o AS (SELECT count(*) = count(DISTINCT o_custkey) AS u FROM orders)
+SELECT * FROM (VALUES ('Customer', 'customer', 'c_custkey', true, true), ('Buyer', 'orders', 'o_custkey', true, true), ('Place', 'nation', 'none', true, false), ('Ghost', 'ghosts', 'id', false, false)) t(class, "table", id_field, table_exists, field_exists)
+LEFT JOIN (SELECT 'customer' AS "table", 'c_custkey' AS id_field, 'unique=' || u AS evidence FROM c UNION ALL SELECT 'orders', 'o_custkey', 'unique=' || u FROM o) USING ("table", id_field)""")
+def entity_hints(s, d):
+    hints = s.createDataFrame([("Customer", "customer", "c_custkey"), ("Buyer", "orders", "o_custkey"), ("Place", "nation", "none"), ("Ghost", "ghosts", "id")], "class string, table string, id_field string")
+    proof = lambda t, c: table(s, d, t).agg(F.concat(F.lit("unique="), (F.count("*") == F.count_distinct(c)).cast("string")).alias("evidence")).select(F.lit(t).alias("table"), F.lit(c).alias("id_field"), "evidence")
+    return lineage.entity_hints(hints, _columns(s, d), proof("customer", "c_custkey").unionByName(proof("orders", "o_custkey")))
+
+
+@query("""WITH j AS (SELECT 'matched=' || count(*) AS e FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)), k AS (SELECT 'matched=' || count(*) AS e FROM orders)
+SELECT * FROM (SELECT 'Order-of-Customer' AS relation, 'Order' AS source_class, 'of' AS predicate, 'Customer' AS target_class, 'orders' AS "table", (SELECT e FROM k) AS source_evidence, (SELECT e FROM j) AS target_evidence, false AS scalar
+UNION ALL SELECT 'Order-status', 'Order', 'status', NULL, 'orders', (SELECT e FROM k), NULL, true)""")
+def relation_hints(s, d):
+    orders, customers = table(s, d, "orders"), table(s, d, "customer")
+    shown = lambda df, *at: df.agg(F.concat(F.lit("matched="), F.count("*").cast("string")).alias("evidence")).select(*(F.lit(x).alias(n) for x, n in zip(at, ("table", "field", "to_table", "to_field"))), "evidence")
+    joins = shown(orders.join(customers.select(F.col("c_custkey").alias("o_custkey")).distinct(), "o_custkey", "left_semi"), "orders", "o_custkey", "customer", "c_custkey").unionByName(shown(orders, "orders", "o_orderkey", "orders", "o_orderkey"))
+    hints = s.createDataFrame([("Order-of-Customer", "orders", "o_orderkey", "o_custkey"), ("Order-status", "orders", "o_orderkey", "o_orderstatus")], "relation string, table string, source_field string, target_field string")
+    entities = s.createDataFrame([("Customer", "customer", "c_custkey"), ("Order", "orders", "o_orderkey")], "class string, table string, id_field string")
+    return lineage.relation_hints(hints, entities, joins)

@@ -59,3 +59,11 @@ def zipped_profile(df: DataFrame, arrays: list[str], form: str, forms: list[str]
     least = F.array_min(F.array(*[F.size(a) for a in arrays]))
     rows = df.select(F.posexplode(F.slice(F.arrays_zip(*arrays), F.lit(1), least)).alias("i", "f")).select("i", "f.*")
     return (rows.filter(F.col(form).isin(list(forms))) if forms else rows).orderBy("i").limit(min(limit, 50))
+
+
+def funding_profiles(institutions: DataFrame, key: str, total: str) -> DataFrame:
+    """Per institution the profile that its total alone supports: one round where it is above
+    none, no investors, nothing invested."""
+    value = F.coalesce(F.col(total).cast("long"), F.lit(0))
+    money = F.struct(F.lit("USD").alias("currency"), value.alias("value"), value.alias("value_usd"))
+    return institutions.select(key, money.alias("total_funding"), F.when(value != 0, 1).otherwise(0).alias("funding_round_count"), F.lit(0).alias("investor_count"), F.lit(0).alias("invested_round_count"))

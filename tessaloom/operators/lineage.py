@@ -121,3 +121,26 @@ def excerpt(items: DataFrame, cited: DataFrame, key: str, text: str, order: str,
     first = items.join(F.broadcast(cited.select(key).distinct().limit(200)), key, "left_semi").select(key, order, short.alias("t")).orderBy(order, key).limit(records)  # 200 ids is the feature's bound
     w = Window.orderBy(order, key)  # over at most ``records`` rows
     return first.withColumn("place", F.row_number().over(w)).withColumn("sum", F.sum(F.length("t")).over(w)).filter(F.col("sum") <= total).select(key, "place", F.col("t").alias("text"))
+
+
+def entity_hints(hints: DataFrame, columns: DataFrame, identities: DataFrame) -> DataFrame:
+    """hints: class, table, id_field; columns: table, column; identities: table, id_field,
+    evidence. Whether what a hint names exists, and the evidence for its identity. All three are
+    of the catalog's size."""
+    tables = columns.select("table").distinct().withColumn("table_exists", F.lit(True))
+    known = columns.select("table", F.col("column").alias("id_field")).distinct().withColumn("field_exists", F.lit(True))
+    joined = hints.join(tables, "table", "left").join(known, ["table", "id_field"], "left").join(identities, ["table", "id_field"], "left")
+    return joined.select("class", "table", "id_field", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("table_exists", "field_exists")), "evidence")
+
+
+def relation_hints(hints: DataFrame, entities: DataFrame, joins: DataFrame) -> DataFrame:
+    """hints: relation (Source-predicate-Target, or without a target), table, source_field,
+    target_field; entities: class, table, id_field; joins: table, field, to_table, to_field,
+    evidence. The join evidence of both ends; a relation without a target ends in a value."""
+    parts = F.split("relation", "-")
+    named = hints.select("*", F.get(parts, F.lit(0)).alias("source_class"), F.get(parts, F.lit(1)).alias("predicate"), F.get(parts, F.lit(2)).alias("target_class"))
+    for end in ("source", "target"):
+        of = entities.select(F.col("class").alias(f"{end}_class"), F.col("table").alias("to_table"), F.col("id_field").alias("to_field"))
+        proof = joins.select("table", F.col("field").alias(f"{end}_field"), "to_table", "to_field", F.col("evidence").alias(f"{end}_evidence"))
+        named = named.join(of, f"{end}_class", "left").join(proof, ["table", f"{end}_field", "to_table", "to_field"], "left").drop("to_table", "to_field")
+    return named.select("relation", "source_class", "predicate", "target_class", "table", "source_evidence", "target_evidence", F.col("target_class").isNull().alias("scalar"))
