@@ -196,7 +196,7 @@ def seed_checks(s, d):
 @query("SELECT n_nationkey, e AS endpoint, k AS kind FROM nation, (VALUES ('/openapi/paper/search', 'paper'), ('/openapi/scholar/search', 'scholar'), ('/x/institutions/search', 'institution'), ('/i/7/funding-profile', 'funding'), ('/other', NULL)) t(e, k)")
 def endpoint_kinds(s, d):
     shown = F.explode(F.array(*map(F.lit, ("/openapi/paper/search", "/openapi/scholar/search", "/x/institutions/search", "/i/7/funding-profile", "/other")))).alias("endpoint")
-    return table(s, d, "nation").select("n_nationkey", shown).withColumn("kind", normalize.endpoint_kind(F.col("endpoint")))
+    return table(s, d, "nation").select("n_nationkey", shown).withColumn("kind", normalize.record_kind(F.col("endpoint")))
 
 
 @query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CAST(o_orderdate AS DATE) - 3 WHEN 1 THEN CAST(o_orderdate AS DATE) - 1 WHEN 2 THEN make_date(CAST(year(o_orderdate) AS BIGINT), 3, 4) WHEN 3 THEN DATE '2023-11-05' WHEN 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END::TIMESTAMP AS asked,

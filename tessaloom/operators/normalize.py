@@ -308,7 +308,7 @@ def append_merge(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True).dropDuplicates()
 
 
-def endpoint_kind(endpoint: Column) -> Column:
+def record_kind(endpoint: Column) -> Column:
     """paper, scholar, institution or funding; null for other endpoints."""
     marks = {"paper/search": "paper", "scholar/search": "scholar", "institutions/search": "institution", "funding-profile": "funding"}  # fixed values
     return F.coalesce(*(F.when(endpoint.contains(m), k) for m, k in marks.items()))
