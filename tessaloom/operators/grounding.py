@@ -25,15 +25,19 @@ def unsupported_tokens(findings: DataFrame, evidence: DataFrame, key: str, text:
 
 
 def duplicate_findings(df: DataFrame, columns: list[str], order: str) -> DataFrame:
-    """Rows whose words equal an earlier row's, and that row. Texts that make up a good part of
-    all rows are joined where they are."""
-    norm = F.lower(F.regexp_replace(F.concat_ws(" ", *columns), r"[^\p{L}\p{N}]+", ""))
-    keyed = df.select(F.col(order).alias("row"), F.sha2(norm, 256).alias("k"))
+    """Rows whose words equal an earlier row's, and that row; rows that are null in all columns
+    have no words to compare. Letters are lower-cased one by one, so a capital sigma or dotted I
+    gives the same at any place. The earliest rows of the largest groups come by broadcast, and
+    their rows are then spread by themselves. One plan of the largest is used for both, with ties
+    in their number broken by key: two plans could differ in them, and lose or repeat rows."""
+    norm = F.regexp_replace(F.concat_ws(" ", *columns), r"[^\p{L}\p{N}]+", "")
+    lower = F.lower(F.replace(F.replace(norm, F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i")))
+    keyed = df.filter(F.col(order).isNotNull() & F.coalesce(*[F.col(c).cast("string") for c in columns]).isNotNull()).select(F.col(order).alias("row"), F.sha2(lower, 256).alias("k"))
     first = keyed.groupBy("k").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    hot = first.orderBy(F.desc("n")).limit(HOT)  # a top list of bounded size
-    spread = keyed.join(F.broadcast(hot.drop("n")), "k")
-    rest = keyed.join(F.broadcast(hot.select("k")), "k", "left_anti").join(first.drop("n"), "k")
-    return spread.unionByName(rest).filter(F.col("row") > F.col("first")).select("row", "first")
+    hot = first.orderBy(F.desc("n"), "k").limit(HOT).select("k", F.col("first").alias("hot_first"))  # a top list of bounded size
+    own = F.concat(F.lit("row "), F.col("row").cast("string"))  # no key begins so
+    marked = keyed.join(F.broadcast(hot), "k", "left").select("row", "hot_first", F.when(F.col("hot_first").isNull(), F.col("k")).otherwise(own).alias("k"))
+    return marked.join(first.select("k", "first"), "k", "left").select("row", F.coalesce("hot_first", "first").alias("first")).filter(F.col("row") > F.col("first"))
 
 
 def unknown_sources(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:

@@ -122,6 +122,28 @@ def test_plan_and_serialisations(spark):
     assert quads.filter("predicate = 'http://e/inst'").first().value == "http://e/entity/z%201"
 
 
+def test_duplicate_findings(spark):
+    """Far more groups of one size than are broadcast, with partitions that Spark joins as their sizes tell."""
+    adaptive = "spark.sql.adaptive."
+    settings = {"spark.sql.shuffle.partitions": "64", f"{adaptive}coalescePartitions.parallelismFirst": "false", f"{adaptive}advisoryPartitionSizeInBytes": "16k", f"{adaptive}coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        texts = spark.range(0, 6000, 1, 7).select("id", F.concat(F.lit("Text "), F.pmod("id", F.lit(1500)).cast("string"), F.when(F.col("id") % 2 == 0, ".").otherwise("!")).alias("t"))
+        assert sorted(rows(grounding.duplicate_findings(texts, ["t"], "id"))) == [(i, i % 1500) for i in range(1500, 6000)]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_duplicate_findings_of_odd_texts(spark):
+    odd = spark.createDataFrame([(1, None), (2, None), (3, ""), (4, " -"), (5, "ΟΔΟΣ"), (6, "οδοσ"), (7, "İ"), (8, "i"), (None, "i"), (9, "οδοσ α")], "id int, t string")
+    assert sorted(rows(grounding.duplicate_findings(odd, ["t"], "id"))) == [(4, 3), (6, 5), (8, 7)]
+    two = odd.select("id", "t", F.when(F.col("id") == 2, "").alias("u"))
+    assert sorted(rows(grounding.duplicate_findings(two, ["t", "u"], "id"))) == [(3, 2), (4, 2), (6, 5), (8, 7)]
+
+
 def test_grounding(spark):
     findings = spark.createDataFrame([(1, "GPT4 grew 12% in 2020"), (2, "Nothing here")], "k int, t string")
     evidence = spark.createDataFrame([(1, "gpt-4 in 2020, 12 of them")], "k int, t string")
